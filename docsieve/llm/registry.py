@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, license, secrets, simhash, substrings
+from . import bpe, chat, license, packing, secrets, simhash, substrings, topk
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.digest(license.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2, tokens=1024)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -46,13 +52,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.withColumn("parts", chat.text_parts(F.col("text")))))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_topk_search": op10_topk_search,
 }
 ORACLE: dict[str, str] = {
     "op9_chat_format": r"""
@@ -72,5 +84,16 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
+""",
+    "op10_topk_search": """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
 """,
 }
