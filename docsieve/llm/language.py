@@ -153,7 +153,7 @@ def predicted(df: DataFrame, model: Model, text_col: str = "text") -> Column:
         found = [sent.value.predict(t) for t in texts]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return of(F.col(text_col))
+    return of.asNondeterministic()(F.col(text_col))  # so that it isn't run once for each use of its result
 
 
 def held_out(id_col: str = "doc_id") -> Column:

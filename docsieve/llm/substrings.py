@@ -4,16 +4,17 @@ A window is ``width`` consecutive words of one document; each word covered by a
 document with a smaller id is removed, judged on the input.
 
 1. Every partition counts its windows (once a document) in two rows of counters; only touched counters are written, as
-   byte-coded gaps. The partitions' sketches are added up block by block, and of each counter two bits are kept: two or
-   more, and ``hot`` or more. Counts are never too low, so a window of two documents always shows as repeated.
+   byte-coded gaps. The partitions' sketches are added up block by block; of each counter one bit is kept: two or more.
+   Counts are never too low, so a window of two documents always shows as repeated.
 2. A second pass over the texts keeps only windows that both rows call repeated, and groups these exactly (by 96 bits of
-   two independent hashes): the smallest document id of each window decides. Windows below ``hot`` meet in a window
-   function over at most that many documents; hotter ones are combined before the shuffle and joined back, so that a
-   passage of a third of all documents is no task of its own.
+   two independent hashes). A task sends each distinct window of a slice of its documents once, with the slice's
+   smallest id, as sorted columns cut into buckets of the hash; the bucket answers a bit a window, whether another slice
+   has a smaller id, and the slice works out its documents' places. A window of a third of all documents is thus one
+   entry a slice, and the bytes moved a window don't depend on the corpus.
 3. The covered words are cut from each text, which is joined to its places by id and text hash.
 
-The sketch has 1.5 to 3 counters a word and row up to ``2 ** most_bits``; its two bitmaps, at most ``2 ** most_bits / 2``
-bytes, are all that is broadcast. In a larger corpus the filter passes more windows; the result is the same.
+The sketch has 1.5 to 3 counters a word and row up to ``2 ** most_bits``; its bitmap, at most ``2 ** most_bits / 4``
+bytes, is all that is broadcast. In a larger corpus the filter passes more windows; the result is the same.
 
 Words: runs of ``[^\x20\x09-\x0D]``. A null text has no words. A null id removes nothing and loses nothing. Repeated rows
 of one id don't remove each other.
@@ -29,10 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, stored
+from .common import spread
 
 BLOCK_BITS = 20
 #: Windows a partition's sketch holds before it is written.
@@ -112,71 +114,140 @@ def _sketch(texts: DataFrame, width: int, bits: int) -> DataFrame:
     return texts.mapInArrow(run, "part int, cells binary, counts binary")
 
 
-def _bitmaps(sketch: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, hot), each a row of bits for either hash; hot counters stop at 255 a task and block, so only a
-    count's being too low for hot is possible, which is a matter of speed."""
+def _bitmap(sketch: DataFrame, bits: int) -> np.ndarray:
+    """The counters of two or more, a row of bits for either hash."""
     small = min(BLOCK_BITS, bits)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         counter = np.zeros(1 << small, np.uint32)
         for cells, counts in zip(pdf["cells"], pdf["counts"]):
             counter[unpack_gaps(cells)] += np.frombuffer(zlib.decompress(counts), np.uint8)
-        maps = [np.packbits(counter >= least, bitorder="little").tobytes() for least in (2, hot)]
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "repeated": [maps[0]], "hot": [zlib.compress(maps[1], 1)]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "repeated": [np.packbits(counter >= 2, bitorder="little").tobytes()]})
 
-    found = sketch.groupBy("part").applyInPandas(add, "part int, repeated binary, hot binary")
-    size = (1 << small) // 8 or 1
-    repeated = np.zeros((2 << (bits - small), size), np.uint8)
-    hots = np.zeros_like(repeated)
+    found = sketch.groupBy("part").applyInPandas(add, "part int, repeated binary")
+    repeated = np.zeros((2 << (bits - small), (1 << small) // 8), np.uint8)
     for r in found.toLocalIterator():
         repeated[r["part"]] = np.frombuffer(r["repeated"], np.uint8)
-        hots[r["part"]] = np.frombuffer(zlib.decompress(r["hot"]), np.uint8)
-    return repeated.reshape(2, -1), hots.reshape(2, -1)
+    return repeated.reshape(2, -1)
 
 
-def _candidates(docs: DataFrame, width: int, bits: int, maps) -> DataFrame:  # noqa: ANN001
-    """``h1, k2, id, th, hot`` for each window estimated repeated; k2 is 32 bits of the other hash, then the place."""
-    factors, shift = _factors(width), np.uint64(64 - bits)
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that the shuffle's compression takes the high planes' zeros."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, hots = maps.value
 
-        def hit(table: np.ndarray, row: int, cell: np.ndarray) -> np.ndarray:
-            return table[row, cell >> 3] >> (cell & 7).astype(np.uint8) & 1
+_ASKED = "bucket int, s long, a binary, b binary, c binary"
 
+
+def _asked(docs: DataFrame, width: int, bits: int, buckets: int, repeated) -> DataFrame:  # noqa: ANN001
+    """For each slice s of a task's documents, its distinct windows estimated repeated, sorted, cut into buckets of their
+    first bits: hashes (a, b) and the smallest id of the slice (c, after their least). One more row, with b empty in its bucket's place,
+    says where in the slice they stand: see ``_own``."""
+    factors, shift, top = _factors(width), np.uint64(64 - bits), np.uint64(64 - int(math.log2(buckets)))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        table = repeated.value
+        held, docs_, n = [], [], 0
         for b in batches:
-            held = []
             for key, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 one, two = window_hashes((text.as_py() or "").encode().split(), factors)
                 if key is None or not len(one):
                     continue
-                c1, c2 = (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
-                at = np.nonzero(hit(repeated, 0, c1) & hit(repeated, 1, c2))[0]
+                at = np.arange(len(one))
+                for row, h in enumerate((one, two)):
+                    cell = (h[at] >> shift).astype(np.int64)
+                    at = at[(table[row, cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)]
                 if len(at):
-                    hot = (hit(hots, 0, c1[at]) & hit(hots, 1, c2[at])).astype(bool)
-                    k2 = two[at] & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
-                    held.append((one[at].view(np.int64), k2.view(np.int64), np.full(len(at), key, np.int64), np.full(len(at), th, np.int64), hot))
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h1", "k2", "id", "th", "hot"])
-
-    return docs.select("id", "th", "text").mapInArrow(run, "h1 long, k2 long, id long, th long, hot boolean")
-
-
-def repeated_places(docs: DataFrame, width: int, hot: int, most_bits: int) -> DataFrame:
-    """``id, th, at array<int>``: where windows start that also start in a document with a smaller id."""
-    spark = docs.sparkSession
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(8, min(most_bits, math.ceil(math.log2(max(2, 1.5 * n_bytes / 6)))))
-    maps = spark.sparkContext.broadcast(_bitmaps(_sketch(docs.select("text"), width, bits), bits, hot))
-    found = stored(_candidates(docs, width, bits, maps), "windows")
-    found = found.withColumn("h2", F.shiftright("k2", 32))
-    cold = found.filter("not hot").withColumn("least", F.min("id").over(Window.partitionBy("h1", "h2")))
-    heat = found.filter("hot")
-    least = heat.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    heat = heat.join(least.drop("most"), ["h1", "h2"])
-    columns = ("id", "th", F.col("k2").bitwiseAND(0x7FFFFFFF).cast("int").alias("at"))
-    rows = cold.filter("id > least").select(*columns).unionByName(heat.filter("id > least").select(*columns))
-    return rows.groupBy("id", "th").agg(F.collect_list("at").alias("at"))
+                    held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), at.astype(np.uint32), np.full(len(at), len(docs_), np.uint32)))
+                    docs_.append((key, th))
+                    n += len(at)
+                if n >= FLUSH // 2:
+                    yield held, docs_
+                    held, docs_, n = [], [], 0
+        if n:
+            yield held, docs_
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (held, docs_) in enumerate(slices(batches)):
+            s = TaskContext.get().partitionId() << 20 | number
+            one, two, at, doc = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((two, one))
+            one, two, at, doc = one[order], two[order], at[order], doc[order]
+            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+            starts = np.nonzero(new)[0]
+            keys = np.array([k for k, _ in docs_], np.int64)
+            least = np.minimum.reduceat(keys[doc], starts)
+            one, two = one[starts], two[starts]
+            cuts = np.append(np.searchsorted(one, np.arange(buckets, dtype=np.uint64) << top), len(one)) if buckets > 1 else np.array([0, len(one)])
+            rows = []
+            for k in np.nonzero(np.diff(cuts))[0].tolist():
+                cut = slice(cuts[k], cuts[k + 1])
+                rows.append((k, s, planes(np.diff(one[cut], prepend=np.uint64(0))), planes(two[cut]), planes(np.append(least[cut].min(), least[cut] - least[cut].min()))))
+            counts = np.diff(np.append(starts, len(at))).astype(np.uint32)
+            known = np.array(docs_, np.int64).tobytes()
+            rows.append((-1 - s % buckets, s, planes(at) + planes(doc), planes(counts), known))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "s", "a", "b", "c"]
+            )
+
+    return docs.select("id", "th", "text").mapInArrow(run, _ASKED)
+
+
+def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: for each slice's windows, a bit where another slice has a smaller id; other rows pass."""
+    passed, asked = pdf[pdf["bucket"] < 0], pdf[pdf["bucket"] >= 0]
+    if not len(asked):
+        return passed
+    one = [np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for x in asked["a"]]
+    sizes = np.array([len(x) for x in one])
+    one = np.concatenate(one)
+    two = np.concatenate([unplaned(x, np.uint32) for x in asked["b"]])
+    least = np.concatenate([x[1:] + x[0] for x in (unplaned(c, np.int64) for c in asked["c"])])
+    order = np.lexsort((two, one))
+    new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+    smallest = np.minimum.reduceat(least[order], np.nonzero(new)[0])
+    smaller = np.empty(len(one), bool)
+    smaller[order] = smallest[np.cumsum(new) - 1] < least[order]
+    bits = [np.packbits(x).tobytes() for x in np.split(smaller, np.cumsum(sizes)[:-1])]
+    out = pd.DataFrame({"bucket": asked["bucket"].to_numpy(), "s": asked["s"].to_numpy(), "a": bits, "b": [int(n).to_bytes(8, "little") for n in sizes], "c": [b""] * len(bits)})
+    return pd.concat([out, passed], ignore_index=True)
+
+
+def _own(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one slice: ``id, th, at`` of its documents with windows that start in one with a smaller id."""
+    me = pdf[pdf["bucket"] < 0].iloc[0]
+    answers = pdf[pdf["bucket"] >= 0].sort_values("bucket")
+    outside = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=int.from_bytes(b, "little")) for a, b in zip(answers["a"], answers["b"])]).astype(bool)
+    known = np.frombuffer(me["c"], np.int64).reshape(-1, 2)
+    half = len(me["a"]) // 2
+    at, doc = unplaned(me["a"][:half], np.uint32), unplaned(me["a"][half:], np.uint32)
+    counts = unplaned(me["b"], np.uint32).astype(np.int64)
+    keys = known[doc, 0]
+    least = np.minimum.reduceat(keys, np.cumsum(counts) - counts)
+    gone = np.repeat(outside, counts) | (keys > np.repeat(least, counts))
+    at, doc = at[gone], doc[gone]
+    order = np.lexsort((at, doc))
+    at, doc = at[order], doc[order]
+    which, first = np.unique(doc, return_index=True)
+    return pd.DataFrame({"id": known[which, 0], "th": known[which, 1], "at": [pack_gaps(x) for x in np.split(at, first[1:])] if len(which) else []})
+
+
+def repeated_places(docs: DataFrame, width: int, most_bits: int, windows_a_bucket: int = 1 << 19) -> DataFrame:
+    """``id, th, at binary``: where windows start that also start in a document with a smaller id, as packed gaps."""
+    n = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # about the words
+    bits = max(8, min(most_bits, math.ceil(math.log2(max(2, 1.5 * n)))))
+    repeated = docs.sparkSession.sparkContext.broadcast(_bitmap(_sketch(docs.select("text"), width, bits), bits))
+    buckets = 1 << max(6, math.ceil(math.log2(max(1, n / windows_a_bucket))))
+    asked = _asked(docs, width, bits, buckets, repeated)
+    bucket = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
+    answered = asked.groupBy(bucket.alias("k")).applyInPandas(_answered, _ASKED)
+    found = answered.groupBy("s").applyInPandas(_own, "id long, th long, at binary")
+    return found.groupBy("id", "th").agg(F.first("at").alias("at"))  # repeated rows say the same
 
 
 def kept_words(text: str | None, at: np.ndarray | None, width: int) -> tuple[int, bytes]:
@@ -195,15 +266,18 @@ def substring_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 13,
-    hot: int = 500,
     most_bits: int = 28,
     carry: tuple[str, ...] = (),
+    keep_layout: bool = False,
 ) -> DataFrame:
-    """``id, n_words, n_removed, kept_text, carried`` for every row; ``carried`` is a struct of the columns ``carry``."""
+    """``id, carried, n_words, n_removed, kept_text`` for every row; ``carried`` is a struct of the columns ``carry``.
+
+    ``kept_text`` is the kept words joined by one space; with ``keep_layout``, the text itself where no word goes.
+    """
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"), carried.alias("carried"))
     docs = spread(docs)
-    places = repeated_places(docs, width, hot, most_bits)
+    places = repeated_places(docs, width, most_bits)
     joined = docs.join(places, ["id", "th"], "left").select("id", "text", "at", "carried")
     schema = joined.drop("text", "at").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
@@ -211,10 +285,11 @@ def substring_dedup(
         for b in batches:
             counts, gone, kept = [], [], []
             for text, at in zip(b.column(1), b.column(2)):
-                n, words = kept_words(text.as_py(), at.values.to_numpy().astype(np.int64) if at.is_valid else None, width)
+                text = text.as_py()
+                n, words = kept_words(text, unpack_gaps(at.as_py()) if at.is_valid else None, width)
                 counts.append(n)
-                kept.append(words.decode())
                 gone.append(n - len(words.split()))
+                kept.append(text if keep_layout and not gone[-1] else words.decode())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(3), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
                 ["id", "carried", "n_words", "n_removed", "kept_text"],
