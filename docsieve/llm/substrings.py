@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import spread
 
 BLOCK_BITS = 20
-#: Windows a partition's sketch holds before it is written.
-FLUSH = 4_000_000
+#: Windows of a partition's sketch, and of a slice, that are held in memory before they are written.
+FLUSH, SLICE = 3_000_000, 800_000
 
 
 def _factors(width: int) -> np.ndarray:
@@ -85,6 +85,7 @@ def _sketch(texts: DataFrame, width: int, bits: int) -> DataFrame:
     def written(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for row in range(2):
             cells, counts = np.unique(np.concatenate(held[row]), return_counts=True)
+            held[row].clear()
             cuts = np.searchsorted(cells, np.arange(1 << (bits - small), dtype=np.int64) << small)
             for block, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(cells)])):
                 if b > a:
@@ -107,7 +108,7 @@ def _sketch(texts: DataFrame, width: int, bits: int) -> DataFrame:
                     n += len(one)
                 if n >= FLUSH:
                     yield from written(held)
-                    held, n = [[], []], 0
+                    n = 0
         if n:
             yield from written(held)
 
@@ -166,9 +167,10 @@ def _asked(docs: DataFrame, width: int, bits: int, buckets: int, repeated) -> Da
                     held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), at.astype(np.uint32), np.full(len(at), len(docs_), np.uint32)))
                     docs_.append((key, th))
                     n += len(at)
-                if n >= FLUSH // 2:
-                    yield held, docs_
-                    held, docs_, n = [], [], 0
+                if n >= SLICE:
+                    full, known, held, docs_, n = held, docs_, [], [], 0
+                    yield full, known
+                    del full, known
         if n:
             yield held, docs_
 
@@ -176,6 +178,7 @@ def _asked(docs: DataFrame, width: int, bits: int, buckets: int, repeated) -> Da
         for number, (held, docs_) in enumerate(slices(batches)):
             s = TaskContext.get().partitionId() << 20 | number
             one, two, at, doc = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             order = np.lexsort((two, one))
             one, two, at, doc = one[order], two[order], at[order], doc[order]
             new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
