@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import vectors
+from . import texts, vectors
 
-MODULES = (vectors,)
+MODULES = (vectors, texts)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
