@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, stored
 
 BLOCK_BITS = 20
 #: Windows of a partition's sketch, and of a slice, that are held in memory before they are written.
@@ -250,7 +250,8 @@ def repeated_places(docs: DataFrame, width: int, most_bits: int, windows_a_bucke
     bucket = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
     answered = asked.groupBy(bucket.alias("k")).applyInPandas(_answered, _ASKED)
     found = answered.groupBy("s").applyInPandas(_own, "id long, th long, at binary")
-    return found.groupBy("id", "th").agg(F.first("at").alias("at"))  # repeated rows say the same
+    # written before the texts are shuffled: both at once would have the heap and the Python workers full together
+    return stored(found, "places").groupBy("id", "th").agg(F.first("at").alias("at"))  # repeated rows say the same
 
 
 def kept_words(text: str | None, at: np.ndarray | None, width: int) -> tuple[int, bytes]:
