@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import texts, vectors
+from . import retrieval, texts, vectors
 
-MODULES = (vectors, texts)
+MODULES = (vectors, texts, retrieval)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
