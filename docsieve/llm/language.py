@@ -49,25 +49,30 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _features(text: str) -> np.ndarray:
-    x = np.bincount(ngrams(text), minlength=1 << BITS).astype(np.float32)
-    return x / (np.linalg.norm(x) or 1)
-
-
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, c: float = 1.0) -> np.ndarray:
-    """A linear SVM (squared hinge loss) by dual coordinate descent; y in {-1, 1}; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    diagonal = (x * x).sum(1) + 0.5 / c
+def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the features that a text has, and their values, of length 1 together."""
+    at, x = np.unique(ngrams(text), return_counts=True)
+    x = x.astype(np.float32)
+    return at, x / (np.linalg.norm(x) or 1)
+
+
+def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, c: float = 1.0) -> np.ndarray:
+    """A linear SVM (squared hinge loss) on sparse rows by dual coordinate descent; y in {-1, 1}; the last weight is the
+    bias."""
+    w, alpha, bias = np.zeros(1 << BITS, np.float32), np.zeros(len(rows)), 0.0
+    diagonal = np.array([float((x * x).sum()) for _, x in rows]) + 1 + 0.5 / c
     order = np.random.default_rng(0)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / c
+        for i in order.permutation(len(rows)):
+            at, x = rows[i]
+            gradient = y[i] * (float(w[at] @ x) + bias) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - gradient / diagonal[i], 0.0)
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[at] += np.float32(step) * x
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, np.float32(bias))
 
 
 @dataclass
@@ -105,23 +110,23 @@ class Model:
 def fit(texts: list[str], langs: list[str], train_chars: int = 2000) -> Model:
     known = sorted(set(langs))
     families = sorted({family_of(x) for x in known})
-    x = np.stack([_features(t[:train_chars]) for t in texts]) if texts else np.zeros((0, 1 << BITS), np.float32)
+    x = [_features(t[:train_chars]) for t in texts]
     y, f = np.array(langs), np.array([family_of(v) for v in langs])
     pairs, weights = [], []
     for a, b in itertools.combinations(families, 2):
         rows = np.nonzero((f == a) | (f == b))[0]
         pairs.append((a, b))
-        weights.append(_svm(x[rows], np.where(f[rows] == a, 1.0, -1.0)))
+        weights.append(_svm([x[i] for i in rows], np.where(f[rows] == a, 1.0, -1.0)))
     for family in families:
         for a, b in itertools.combinations([v for v in known if family_of(v) == family], 2):
             rows = np.nonzero((y == a) | (y == b))[0]
             pairs.append((a, b))
-            weights.append(_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0)))
+            weights.append(_svm([x[i] for i in rows], np.where(y[rows] == a, 1.0, -1.0)))
     w = np.stack(weights, 1) if weights else np.zeros(((1 << BITS) + 1, 0), np.float32)
     return Model(known, families, pairs, w.astype(np.float32))
 
 
-def train(df: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, train_chars: int = 2000) -> Model:
+def train(df: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, train_chars: int = 1500) -> Model:
     """A model from at most ``sample`` rows where ``use`` holds."""
     rows = df.filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
