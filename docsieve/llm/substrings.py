@@ -176,7 +176,8 @@ def _asked(docs: DataFrame, width: int, bits: int, buckets: int, repeated) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (held, docs_) in enumerate(slices(batches)):
-            s = TaskContext.get().partitionId() << 20 | number
+            part = TaskContext.get().partitionId()
+            s = part << 20 | number
             one, two, at, doc = (np.concatenate(c) for c in zip(*held))
             held.clear()
             order = np.lexsort((two, one))
@@ -193,7 +194,7 @@ def _asked(docs: DataFrame, width: int, bits: int, buckets: int, repeated) -> Da
                 rows.append((k, s, planes(np.diff(one[cut], prepend=np.uint64(0))), planes(two[cut]), planes(np.append(least[cut].min(), least[cut] - least[cut].min()))))
             counts = np.diff(np.append(starts, len(at))).astype(np.uint32)
             known = np.array(docs_, np.int64).tobytes()
-            rows.append((-1 - s % buckets, s, planes(at) + planes(doc), planes(counts), known))
+            rows.append((-1 - (part + 7919 * number) % buckets, s, planes(at) + planes(doc), planes(counts), known))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "s", "a", "b", "c"]
             )
