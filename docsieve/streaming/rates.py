@@ -9,8 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 def event_stream(spark: SparkSession, path: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """A file stream of events; its time is cast, as watermarks don't take timestamps without a zone."""
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
+    read, schema = spark.readStream, spark.read.parquet(path).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():  # a stream reads folders
+        read, path = read.option("pathGlobFilter", where.getName()), where.getParent().toString()
+    stream = read.schema(schema).parquet(path)
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
