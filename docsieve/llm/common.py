@@ -1,59 +1,27 @@
-"""What the operators of this subpackage share: storage, partitioning, the word rules."""
+"""What the operators of this subpackage share: storage, samples, Arrow maps over texts, the word rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import dropped, shared_dir, spread, stored, table
+
+__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "map_texts", "sampled", "shared_dir", "spread", "stored", "table"]
+
 #: ASCII white space; words are the runs between these characters. ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that setting is missing (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="docsieve-")
-        shared_dir.own = where
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
-
-    ``checkpoint()`` would compute the plan twice (once to count, once to write); a table is written in one run.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docsieve/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
-    path = getattr(df, "stored_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition a core: a table of one file with one row group would run as one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def sampled(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """About four times ``most`` rows of the smallest hashes of their id, or all, so that taking the first ``most`` of
+    them by hash moves a bounded number of rows whatever the table's size. The same rows at every partitioning."""
+    share = min(1.0, 4.0 * most / max(1, df.count()))
+    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
 def map_texts(

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, sampled
 
 #: Language families.
 FAMILIES = {
@@ -128,10 +128,10 @@ def fit(texts: list[str], langs: list[str], train_chars: int = 2000) -> Model:
 
 def train(df: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, train_chars: int = 1500) -> Model:
     """A model from at most ``sample`` rows where ``use`` holds."""
-    rows = df.filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = sampled(df, id_col, sample).filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
-    # ids first: only the chosen rows' texts go to the driver, and only their beginnings
-    rows = rows.select("lang", F.substring("text", 1, train_chars).alias("text"), F.xxhash64("id").alias("h"), "id")
+    # only the chosen rows' beginnings go to the driver
+    rows = rows.select("lang", F.substring("text", 1, train_chars).alias("text"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"), "id")
     chosen = rows.orderBy("h", "id", "text").limit(sample).toPandas()
     return fit(chosen["text"].tolist(), chosen["lang"].tolist(), train_chars)
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_texts, stored
+from .common import SPACES, map_texts, sampled, stored
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs")
@@ -172,8 +172,8 @@ def decision(rules: list[Rule]) -> Column:
 
 def learned_rules(shared: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", sample: int = 20000) -> list[Rule]:
     """Rules for label 0, from statistics with shares and a label table."""
-    known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
-    rows = shared.select("id", *TESTED).join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(sample).toPandas()
+    known = sampled(labels, label_id, sample).select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
+    rows = shared.select("id", *TESTED).join(known, "id").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id", "y").limit(sample).toPandas()
     x = {c: rows[c].to_numpy(float) for c in TESTED}
     return learn(x, (rows["y"].to_numpy() == 0).astype(int))
 
