@@ -290,6 +290,7 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", count(*
     "rate_limit": f"WITH {_EV}, s AS (SELECT event_id, event_type, floor(epoch(ts))::BIGINT AS s FROM e), c AS (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM s) SELECT * FROM c WHERE in_window > 4",
     "metrics_summary": f"WITH {_EV}, s AS (SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_latency, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses FROM e) SELECT *, round(hits / (hits + misses), 6) AS hit_rate FROM s",
     "benchmark_summary": f"WITH {_EV} SELECT event_type, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(min(value), 6) AS min FROM e GROUP BY 1",
+    "stream_rate_5m": f"WITH {_EV}, c AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, count(*) AS count FROM e GROUP BY 1, 2) SELECT * FROM c WHERE window_start + INTERVAL '5 minutes' <= (SELECT max(ts) FROM e) - INTERVAL '1 hour'",
     "ocr_summary": f"WITH {_WO} SELECT page, count(*) FILTER (trim(text) <> '') AS word_count, round(avg(CASE WHEN conf <> -1 THEN conf END), 6) AS confidence FROM w GROUP BY page",
     "ocr_tables": f"""WITH {_WO}, k AS (SELECT * FROM w WHERE conf > 30), s AS (SELECT page, block FROM k GROUP BY ALL HAVING count(DISTINCT "left") > 1 AND count(DISTINCT top) > 1)
 SELECT page, block, top, string_agg(text, '|' ORDER BY "left") AS cells FROM k JOIN s USING (page, block) GROUP BY page, block, top""",
