@@ -53,6 +53,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that is computed once a row: no filter above can be pushed through a generator, which would
+    put the expression, for every word again, in place of its name."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 class Template:
     def __init__(self, label: str, text: str, key: str, base: bool):
         self.label, self.words, self.base = label, text.split(), base
@@ -84,7 +90,6 @@ def license_scan(
     text_col: str = "text",
     base: dict[str, str] = BASE,
     notices: tuple = NOTICES,
-    rare_words: int = 3,
     coverage: float = 0.8,
 ) -> DataFrame:
     """``id, n_words, matches array<struct<label, base, start, coverage>>``; starts count words from 0."""
@@ -92,43 +97,46 @@ def license_scan(
     ts = templates(base, notices)
     vocabulary = sorted({w for t in ts for w in t.words})
     idf = word_idf(df, "text", vocabulary)
-    index = [(t, t.rare(idf, 2 if t.base else rare_words)) for t in ts]
+    index = [(t, t.rare(idf, 2 if t.base else 3)) for t in ts]
     rare = sorted({w for _, r in index for w, _ in r})
     hit = "array<struct<w:string,p:int>>"
-    scanned = df.select("id", words_of(F.col("text")).alias("words")).select("id", "words", F.size("words").cast("long").alias("n_words"))
+    scanned = once(df.select("id", "text"), words_of(F.col("text")), "words").select("id", "words", F.size("words").cast("long").alias("n_words"))
     places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(rare))
     hits = F.transform(places, lambda i: F.struct(F.element_at("words", i).alias("w"), (i - 1).alias("p")))
     none = F.array().cast("array<struct<label:string,base:boolean,start:int,coverage:double>>")
-    scanned = scanned.withColumn("hits", F.when(F.size("words") > 0, hits).otherwise(F.array().cast(hit)))
-
-    def starts(word: str, at: int) -> Column:
-        mine = F.filter("hits", lambda h: (h["w"] == word) & (h["p"] >= at))
-        return F.transform(mine, lambda h: h["p"] - F.lit(at))
-
-    def found(t: Template, postings: list[tuple[str, int]]) -> Column:
-        by_word = [starts(*p) for p in postings]
-        if len(by_word) == 1:
-            candidates = by_word[0]
-        else:
-            pairs = [F.array_intersect(a, b) for i, a in enumerate(by_word) for b in by_word[i + 1 :]]
-            candidates = pairs[0] if len(pairs) == 1 else F.array_distinct(F.concat(*pairs))
-        mine = F.array(*map(F.lit, t.words))
-        key = F.array(*map(F.lit, t.key))
-        kept = F.filter(candidates, lambda s: F.slice("words", s + 1 + t.key_at, len(t.key)) == key)
+    scanned = once(scanned, F.when(F.size("words") > 0, hits).otherwise(F.array().cast(hit)), "hits")
+
+    def starts(t: Column, k: int) -> Column:
+        word, at = F.get(t["rare"], F.lit(k))["w"], F.get(t["rare"], F.lit(k))["p"]
+        return F.transform(F.filter("hits", lambda h: (h["w"] == word) & (h["p"] >= at)), lambda h: h["p"] - at)
+
+    def found(t: Column) -> Column:
+        one, two, three = (starts(t, k) for k in range(3))  # of two rare words the third has no starts
+        agreed = F.array_distinct(F.concat(F.array_intersect(one, two), F.array_intersect(one, three), F.array_intersect(two, three)))
+        kept = F.filter(agreed, lambda s: F.slice("words", s + 1 + t["key_at"], F.size(t["key"])) == t["key"])
         share = lambda s: F.aggregate(
-            F.zip_with(F.slice("words", s + 1, len(t.words)), mine, lambda a, b: F.when(a == b, 1).otherwise(0)),
+            F.zip_with(F.slice("words", s + 1, F.size(t["words"])), t["words"], lambda a, b: F.when(a == b, 1).otherwise(0)),
             F.lit(0),
             lambda x, y: x + y,
-        ) / len(t.words)
-        return F.filter(
-            F.transform(kept, lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), share(s).alias("coverage"))),
-            lambda m: m["coverage"] >= (1.0 if t.base else coverage),
-        )
+        ) / F.size(t["words"])
+        rows = F.transform(kept, lambda s: F.struct(t["label"].alias("label"), t["base"].alias("base"), s.alias("start"), share(s).alias("coverage")))
+        return F.filter(rows, lambda m: m["coverage"] >= F.when(t["base"], 1.0).otherwise(coverage))
 
-    matches = F.when(F.size("hits") > 0, F.concat(*(found(t, p) for t, p in index))).otherwise(none)
+    matches = F.when(F.size("hits") > 0, F.flatten(F.transform(literal_index(index), found))).otherwise(none)
     return scanned.select("id", "n_words", matches.alias("matches"))
 
 
+def literal_index(index: list[tuple[Template, list[tuple[str, int]]]]) -> Column:
+    """The index as one literal of the plan: label, base, words, key, key_at, rare words with their places."""
+    text = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    texts = lambda ws: f"array({', '.join(map(text, ws))})"
+    one = lambda t, rare: (
+        f"named_struct('label', {text(t.label)}, 'base', {str(t.base).lower()}, 'words', {texts(t.words)}, 'key', {texts(t.key)}, "
+        f"'key_at', {t.key_at}, 'rare', array({', '.join(f"named_struct('w', {text(w)}, 'p', {p})" for w, p in rare)}))"
+    )
+    return F.expr(f"array({', '.join(one(*x) for x in index)})")
+
+
 def digest(scan: DataFrame) -> DataFrame:
     of_base = F.filter("matches", lambda m: m["base"])
     ends = F.transform("base", lambda m: m["start"])
