@@ -80,7 +80,27 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_topk_search": op10_topk_search,
 }
+
+
+def _template_rows() -> str:
+    texts = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    ts = license.templates(license.BASE, license.NOTICES)
+    return ", ".join(f"('{t.label}', {str(t.base).lower()}, {texts(t.words)}, {texts(t.key)}, {t.key_at})" for t in ts)
+
+
 ORACLE: dict[str, str] = {
+    # every place of a key phrase is tried, where the operator tries those that its index proposes
+    "op1_license_scan": rf"""
+WITH t(label, base, words, key, key_at) AS (VALUES {_template_rows()}),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+h AS (SELECT doc_id, label, base, words, w, i - key_at AS s FROM p JOIN t ON w[i] = key[1] AND w[i:i + len(key) - 1] = key WHERE i > key_at),
+c AS (SELECT doc_id, label, base, s - 1 AS s, len([j for j in range(1, len(words) + 1) if w[s + j - 1] = words[j]]) / len(words) AS c FROM h),
+m AS (SELECT * FROM c WHERE c >= CASE WHEN base THEN 1 ELSE 0.8 END)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(c), 0)::DOUBLE AS score
+FROM w LEFT JOIN m ON m.doc_id = w.doc_id GROUP BY w.doc_id, w.w
+""".replace("\\\\", "\\"),
     "op9_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -109,5 +129,14 @@ WITH v AS (
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
+""",
+    "op8_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i:i + 12] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+m AS (SELECT k, min(doc_id) AS m FROM p GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM p JOIN m USING (k) WHERE doc_id > m),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """,
 }
