@@ -28,12 +28,12 @@ class Bm25:
     def __init__(self, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
         self.k1, self.b, self.epsilon = k1, b, epsilon
         self.docs = docs.select("id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
+        self.corpus = self.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
     def idf(self) -> DataFrame:
         """``term, df, idf`` of the whole vocabulary; the mean IDF is a one-row aggregate."""
         df = self.docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        n = self.docs.agg(F.count("*").alias("n"))
-        raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        raw = df.crossJoin(F.broadcast(self.corpus)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         mean = raw.agg(F.avg("raw").alias("mean"))
         floor = F.when(F.col("raw") < 0, self.epsilon * F.col("mean")).otherwise(F.col("raw"))
         return raw.crossJoin(F.broadcast(mean)).select("term", "df", floor.alias("idf"))
@@ -42,9 +42,8 @@ class Bm25:
         """``qid, id, score`` above 0 for ``queries(qid, q)``, best k of each; a repeated query term counts repeatedly."""
         asked = queries.select("qid", F.explode(tokens(F.col("q"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
         terms = asked.select("term").distinct()
-        average = self.docs.agg(F.avg("dl").alias("avgdl"))
         posted = self.docs.select("id", "dl", F.explode("words").alias("term")).join(terms, "term", "left_semi")
-        posted = posted.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(average))
+        posted = posted.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(self.corpus))
         part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
         weighed = posted.select("term", "id", part.alias("part")).join(self.idf().join(terms, "term", "left_semi"), "term")
         scored = weighed.join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("times") * F.col("idf") * F.col("part")).alias("score")).filter("score > 0")

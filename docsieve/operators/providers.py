@@ -71,6 +71,11 @@ def expanded_query(query: Column, synonyms: Column, related: Column) -> Column:
     return F.array_join(F.array_distinct(F.concat(F.array(query), synonyms, related)), " ")
 
 
+def missing(what: str) -> Callable[[Column], Column]:
+    """A provider that there is no local stand-in for: a row that asks for it fails with this message."""
+    return lambda content: F.when(content.isNotNull(), F.raise_error(f"no provider for {what}; pass one in Providers"))
+
+
 @dataclass
 class Providers:
     """What the pipelines call for outside models; each can be replaced."""
@@ -80,6 +85,9 @@ class Providers:
     entities: Callable[[Column], Column] = capitalised_entities
     terms: Callable[[Column], Column] = query_terms
     language: Callable[[Column], Column] = stopword_language
+    pdf_text: Callable[[Column], Column] = missing("text and metadata of PDF files")
+    pdf_tables: Callable[[Column], Column] = missing("tables of PDF files")
+    ocr_words: Callable[[Column], Column] = missing("words of images")
     count_tokens: Callable[[Column], Column] = T.token_estimate
     classify: Callable[[str], dict[str, float]] = field(default=lambda q: {"general": 1.0})
     answer: Callable[[Column, Column], Column] = field(default=lambda question, context: F.substring(context, 1, 2000))

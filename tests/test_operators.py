@@ -60,6 +60,25 @@ def test_chunk_sentences(spark):
     assert of("一. 二\t三!\n\n四?", 300, 50) == ["一. 二 三! 四?"]
 
 
+def test_chunk_paragraphs(spark):
+    """Against the sequential fold, on tokens of one word each."""
+
+    def brute(text, most, carried=2):
+        chunks, now = [], []
+        for p in (x.strip() for x in text.split("\n\n") if x.strip()):
+            if now and sum(len(x.split()) for x in now) + len(p.split()) > most:
+                chunks.append("\n\n".join(now))
+                now = now[-carried:]
+            now = [*now, p]
+        return [*chunks, "\n\n".join(now)] if now else chunks
+
+    rng = np.random.default_rng(0)
+    texts = ["\n\n".join(" ".join("w" for _ in range(n)) for n in rng.integers(0, 9, 12)) for _ in range(20)] + [""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.chunk_paragraphs(F.col("t"), 12).alias("c"))
+    for r in df.collect():
+        assert r["c"] == brute(r["t"], 12)
+
+
 def test_chunk_fixed_needs_a_small_overlap():
     with pytest.raises(ValueError):
         T.chunk_fixed(F.lit("x"), 10, 10)
