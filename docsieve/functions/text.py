@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +51,11 @@ TABLES = (r"^\|.+\|$", r"^\s*[|+].+[|+]\s*$")
 CODE = (r"(?m)```[\s\S]*?```", r"(?m)    [\w\s]+$")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -178,16 +183,16 @@ def prompt_kind(query: Column) -> Column:
 
 
 def structure(text: Column) -> Column:
-    lines = F.split(text, "\n")
     is_any = lambda patterns: lambda x: x.rlike("|".join(f"(?:{p})" for p in patterns))
     code = text.rlike(CODE[0]) | text.rlike(CODE[1])
-    return F.struct(
+    of = lambda lines: F.struct(
         F.exists(lines, is_any(HEADERS)).alias("has_headers"),
         F.exists(lines, is_any(LISTS)).alias("has_lists"),
         F.exists(lines, is_any(TABLES)).alias("has_tables"),
         code.alias("has_code_blocks"),
         F.size(F.filter(lines, is_any(HEADERS))).alias("section_count"),
     )
+    return bound(F.split(text, "\n"), of)
 
 
 def statistics(text: Column) -> Column:

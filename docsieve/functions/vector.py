@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -13,7 +14,9 @@ def doubles(v: Column) -> Column:
 
 
 def literal(v: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+    """One call for the whole array, however long the vector."""
+    one = lambda x: f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)!r}')"
+    return F.expr(f"array({', '.join(map(one, v))})") if len(v) else F.array().cast("array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:

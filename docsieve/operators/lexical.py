@@ -59,15 +59,17 @@ def best(scored: DataFrame, k: int, by: str = "qid", id_col: str = "id") -> Data
 
 def ngrams(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-cased words of two or more letters or digits without stop words, and their pairs."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+    words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
+    last = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, last(w)), F.slice(w, 2, last(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return T.bound(words, lambda w: F.concat(w, pairs(w)))
 
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``qid, id, score``: cosine of smoothed TF-IDF vectors, above 0. Each query's statistics count the query itself as one
     more document: idf = ln((1 + n) / (1 + df)) + 1 with n = documents + 1."""
-    tf = docs.select("id", F.explode(ngrams(F.col("text"), stop_words)).alias("t")).groupBy("id", "t").agg(F.count("*").alias("tf"))
+    # dealt by document before the n-grams are made: texts are shuffled, not n-grams, and counting needs no exchange
+    tf = docs.select("id", "text").repartition("id").select("id", F.explode(ngrams(F.col("text"), stop_words)).alias("t")).groupBy("id", "t").agg(F.count("*").alias("tf"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
     n = docs.agg((F.count("*") + 1).alias("n"))
     asked = queries.select("qid", F.explode(ngrams(F.col("q"), stop_words)).alias("t")).groupBy("qid", "t").agg(F.count("*").alias("qtf"))
