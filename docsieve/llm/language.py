@@ -5,7 +5,7 @@ the language family; inside a family, one-versus-one linear support vector machi
 Both levels are linear, so a text is scored in one gather of weight rows for its n-grams.
 
 Families are a fixed table of ISO 639-1 codes; languages outside it form one family of their own kind. Learning takes at
-most ``sample`` rows (those with the smallest hash of their id) and, of each, the first ``train_chars`` characters;
+most ``sample`` of the labelled rows (those with the smallest hash of their id) and, of each, the first ``train_chars`` characters;
 predictions read whole texts. A null text or one without a letter is ``und`` with score 0. The score is the logistic
 margin of the family times that of the closest pair, so a text of one letter comes out low. Repeated rows are predicted
 alike; nothing but the sample is shuffled.
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, sampled
+from .common import map_texts
 
 #: Language families.
 FAMILIES = {
@@ -127,12 +127,16 @@ def fit(texts: list[str], langs: list[str], train_chars: int = 2000) -> Model:
 
 
 def train(df: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, train_chars: int = 1500) -> Model:
-    """A model from at most ``sample`` rows where ``use`` holds."""
-    rows = sampled(df, id_col, sample).filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    """A model from ``sample`` labelled rows with a letter where ``use`` holds, or all if there are fewer."""
+    rows = df.filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
     # only the chosen rows' beginnings go to the driver
     rows = rows.select("lang", F.substring("text", 1, train_chars).alias("text"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"), "id")
-    chosen = rows.orderBy("h", "id", "text").limit(sample).toPandas()
+    first = lambda few: few.orderBy("h", "id", "text").limit(sample).toPandas()
+    share = 1.25 * sample / max(1, rows.count())  # of the rows that can be used: so many hashes hold the smallest ``sample``
+    chosen = first(rows.filter(F.col("h") < int(min(1.0, share) * (1 << 40))))
+    if share < 1 and len(chosen) < sample:  # ids that repeat have one hash
+        chosen = first(rows)
     return fit(chosen["text"].tolist(), chosen["lang"].tolist(), train_chars)
 
 

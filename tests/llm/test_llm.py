@@ -261,6 +261,14 @@ def test_language(spark, docs, empty):
     assert none.langs == [] and none.predict("abc") == ("und", 0.0)
 
 
+def test_language_learns_from_few_labelled_rows_of_many(spark):
+    """The sample is of the labelled rows, wherever they lie in the table, and also if all rows have one id."""
+    lang = F.when(F.col("id") % 500 < 4, F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("id") % 500 + 1).cast("int")))
+    df = spark.range(10000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of "), F.coalesce(lang, F.lit("none")), "id").alias("text"), lang.alias("lang"))
+    assert language.train(df, F.lit(True), sample=60).langs == ["de", "en", "es", "fr"]
+    assert language.train(df.withColumn("doc_id", F.lit(7)), F.lit(True), sample=79).langs == ["de", "en", "es", "fr"]
+
+
 def test_language_held_out_accuracy(spark):
     got = registry.op5_language_id(spark, "/root/testdata/sf0.001").withColumnRenamed("lang_pred", "p")
     j = got.join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id").filter("held_out")
