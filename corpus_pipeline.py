@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import language, packing, secrets, simhash, substrings
+from docsieve.llm import jaccard, language, packing, secrets, simhash, substrings
 from docsieve.llm.common import stored, table
 
 #: SQL can't express the classifier, the hashes and the tokeniser; tests hold the stages to brute-force versions.
@@ -29,8 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles of 0.8 or more) stays, the
+    one with the smallest id."""
+    return simhash.first_of_each(docs, jaccard.near_copies(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

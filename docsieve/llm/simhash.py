@@ -53,12 +53,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def text_hash(text: str | None) -> int:
+    """Spark's ``xxhash64(text)``."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64)) if text is not None else 42
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """``id, th, fp`` for every row; ``th`` is Spark's ``xxhash64(text)``, which tells rows of one id apart."""
-    of = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64)) if t is not None else 42
 
     def work() -> Callable:
-        return lambda keys, texts: [keys, [of(t) for t in texts], [fingerprint(t, width, seed) for t in texts]]
+        return lambda keys, texts: [keys, [text_hash(t) for t in texts], [fingerprint(t, width, seed) for t in texts]]
 
     return map_texts(df, id_col, text_col, "id long, th long, fp long", work)
 
@@ -160,7 +164,11 @@ def digest(found: DataFrame) -> DataFrame:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id (of several such
     rows, one with the smallest text hash)."""
-    found = near_duplicates(df, id_col, text_col, **how)
+    return first_of_each(df, near_duplicates(df, id_col, text_col, **how), id_col, text_col)
+
+
+def first_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same for components ``id, th, root, component_id`` found before."""
     mine = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root")
     first = mine.agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", F.col("k.th").alias("th"))
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docsieve.llm import bpe, chat, components, language, license, packing, quality, registry, secrets, simhash, substrings, topk
+from docsieve.llm import bpe, chat, components, jaccard, language, license, packing, quality, registry, secrets, simhash, substrings, topk
 
 WORDS = r"[^\x20\x09-\x0D]+"
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -155,6 +155,40 @@ def test_simhash(docs, empty):
     assert (2,) not in kept and kept.count((8,)) == 1 and (1,) in kept
 
 
+def test_near_duplicate_stage(spark):
+    """One of each group of texts that pairs of a five-word Jaccard similarity of 0.8 or more connect, by brute force."""
+    rng = np.random.default_rng(1)
+    rows = [(None, "no id"), (9000, ""), (9001, None), (9002, "a b"), (9003, "A  b"), (9003, "A  b"), (9004, "a c")]
+    shared = [f"line{k}" for k in range(40)]
+    for c in range(12):
+        base = [f"c{c}w{k}" for k in rng.integers(0, 1000, 90)] if c else [f"w{k}" for k in range(90)]
+        base = shared + base[:30] if c > 5 else base
+        for m in range(60 if not c else 12):
+            w = list(base)
+            for at in rng.integers(0, len(w), rng.integers(0, 5)):
+                w[at] = f"new{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(w)))
+            base = w if m % 3 == 1 and c % 2 else base
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    assert 20 < len(least) < len(rows) - 50
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted(least.values(), key=repr)
+    found = jaccard.near_copies(df)
+    assert rows_of(found, "id", "component_id") == sorted(((i, least[r]) for (i, _), r in zip(rows, root)), key=repr)
+
+
 def test_golay_keys_meet():
     rng = np.random.default_rng(0)
     f = rng.integers(-(2**63), 2**63 - 1, 3000, dtype=np.int64)
