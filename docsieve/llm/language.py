@@ -5,10 +5,10 @@ the language family; inside a family, one-versus-one linear support vector machi
 Both levels are linear, so a text is scored in one gather of weight rows for its n-grams.
 
 Families are a fixed table of ISO 639-1 codes; languages outside it form one family of their own kind. Learning takes at
-most ``sample`` of the labelled rows (those with the smallest hash of their id) and, of each, the first ``train_chars`` characters;
-predictions read whole texts. A null text or one without a letter is ``und`` with score 0. The score is the logistic
-margin of the family times that of the closest pair, so a text of one letter comes out low. Repeated rows are predicted
-alike; nothing but the sample is shuffled.
+most ``sample`` of the labelled rows (those with the smallest hash of their id); it and predictions read whole texts. A
+null text or one without a letter is ``und`` with score 0. The score is the logistic margin of the family times that of
+the closest pair, so a text of one letter comes out low. Repeated rows are predicted alike; nothing but the sample is
+shuffled.
 """
 
 from __future__ import annotations
@@ -56,6 +56,22 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, x / (np.linalg.norm(x) or 1)
 
 
+def _sparse(text: str) -> Column:
+    """A text's features as bytes: 2 for each number, then 4 for each value."""
+    packed = lambda at, x: at.astype("<u2").tobytes() + x.astype("<f4").tobytes()
+
+    @F.pandas_udf("binary")
+    def of(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda t: packed(*_features(t)))
+
+    return of(text)
+
+
+def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(x) // 6
+    return np.frombuffer(x, "<u2", n).astype(np.int64), np.frombuffer(x, "<f4", n, 2 * n)
+
+
 def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, c: float = 1.0) -> np.ndarray:
     """A linear SVM (squared hinge loss) on sparse rows by dual coordinate descent; y in {-1, 1}; the last weight is the
     bias."""
@@ -107,10 +123,10 @@ class Model:
         return best, 1.0 if len(names) == 1 else float(1 / (1 + np.exp(-4 * max(least[best], -50.0))))
 
 
-def fit(texts: list[str], langs: list[str], train_chars: int = 2000) -> Model:
+def fit(x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model:
+    """A model from texts' features."""
     known = sorted(set(langs))
-    families = sorted({family_of(x) for x in known})
-    x = [_features(t[:train_chars]) for t in texts]
+    families = sorted({family_of(v) for v in known})
     y, f = np.array(langs), np.array([family_of(v) for v in langs])
     pairs, weights = [], []
     for a, b in itertools.combinations(families, 2):
@@ -126,18 +142,19 @@ def fit(texts: list[str], langs: list[str], train_chars: int = 2000) -> Model:
     return Model(known, families, pairs, w.astype(np.float32))
 
 
-def train(df: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, train_chars: int = 1500) -> Model:
+def train(df: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000) -> Model:
     """A model from ``sample`` labelled rows with a letter where ``use`` holds, or all if there are fewer."""
     rows = df.filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
-    # only the chosen rows' beginnings go to the driver
-    rows = rows.select("lang", F.substring("text", 1, train_chars).alias("text"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"), "id")
-    first = lambda few: few.orderBy("h", "id", "text").limit(sample).toPandas()
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"), "id", F.xxhash64("text").alias("th"))
+    first = lambda few: few.orderBy("h", "id", "th", "lang").limit(sample)
+    # whole texts become features on the executors; only the chosen rows' features go to the driver
+    sparse = lambda few: few.select("lang", "h", "id", "th", _sparse("text").alias("x"))
     share = 1.25 * sample / max(1, rows.count())  # of the rows that can be used: so many hashes hold the smallest ``sample``
-    chosen = first(rows.filter(F.col("h") < int(min(1.0, share) * (1 << 40))))
+    chosen = first(sparse(rows.filter(F.col("h") < int(min(1.0, share) * (1 << 40))))).collect()
     if share < 1 and len(chosen) < sample:  # ids that repeat have one hash
-        chosen = first(rows)
-    return fit(chosen["text"].tolist(), chosen["lang"].tolist(), train_chars)
+        chosen = sparse(first(rows)).orderBy("h", "id", "th", "lang").collect()
+    return fit([_unpacked(r["x"]) for r in chosen], [r["lang"] for r in chosen])
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

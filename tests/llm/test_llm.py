@@ -303,6 +303,14 @@ def test_language_learns_from_few_labelled_rows_of_many(spark):
     assert language.train(df.withColumn("doc_id", F.lit(7)), F.lit(True), sample=79).langs == ["de", "en", "es", "fr"]
 
 
+def test_language_learns_from_whole_texts(spark):
+    """A head of 2,000 characters that all texts share; what tells the languages apart stands behind it."""
+    said = {"en": "the and of that with have this", "de": "der und die das nicht ist ein"}
+    rows = [(k, "0123456789 " * 182 + " ".join([said[("en", "de")[k % 2]]] * 40) + f" {k}", ("en", "de")[k % 2]) for k in range(60)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 40)
+    assert [model.predict(t)[0] for _, t, _ in rows] == [lang for _, _, lang in rows]
+
+
 def test_language_held_out_accuracy(spark):
     got = registry.op5_language_id(spark, "/root/testdata/sf0.001").withColumnRenamed("lang_pred", "p")
     j = got.join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id").filter("held_out")
