@@ -53,7 +53,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(docs, path, public_tokenizers.PATTERN, end_id=2, tokens=1024).withColumnRenamed("id", "doc_id")
+    limits = packing.TOKENS, packing.DOCUMENTS, packing.ATTENTION
+    return packing.pack_documents(docs, path, public_tokenizers.PATTERN, 2, *limits).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -30,6 +30,11 @@ from .bpe import safe_pieces
 from .common import map_texts, stored
 
 
+#: Production capacities. Those of documents and attention cost are the most that 1,024 tokens can need: they shut out no
+#: packing, but all three residuals take part in the choice of a sequence.
+TOKENS, DOCUMENTS, ATTENTION = 1024, 1024, 1024 * 1024
+
+
 @functools.lru_cache(maxsize=2)
 def token_ids(path: str, pattern: str) -> Callable[[str], np.ndarray]:
     """The encoder of a ``tokenizers`` file, without special tokens; ``pattern`` is its split pattern."""

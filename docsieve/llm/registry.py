@@ -16,7 +16,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2, tokens=1024)
+    limits = packing.TOKENS, packing.DOCUMENTS, packing.ATTENTION
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, 2, *limits)
     return packed.withColumnRenamed("id", "doc_id")
 
 

@@ -130,6 +130,18 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_packing_queries_weigh_all_capacities(spark, docs, monkeypatch):
+    """Of sequences with 124 and 119 tokens left, the first has far less attention cost left and so gets the next piece."""
+    seen, plan = [], packing.plan
+    monkeypatch.setattr(packing, "plan", lambda counts, *a: seen.append(a) or plan(counts, *a))
+    registry.op2_best_fit_packing(spark, "/root/testdata/sf0.001")
+    corpus_pipeline.pack_sequences(spark, docs, "")
+    assert len(seen) == 2
+    for limits in seen:
+        rows, bins = plan({900: 1, 455: 1, 450: 1, 100: 1}, *limits)
+        assert limits[0] == 1024 and bins == 2 and dict(rows[:, [0, 2]].tolist())[100] == 0
+
+
 def test_simhash(docs, empty):
     got = simhash.digest(simhash.near_duplicates(docs))
     fps = [(i, brute_fingerprint(t)) for i, t in TEXTS]
