@@ -13,22 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that setting is missing (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that setting is missing in a local session."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="docsieve-")
         shared_dir.own = where
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
 
-    ``checkpoint()`` would compute the plan twice (once to count, once to write); a table is written in one run.
+    ``checkpoint()`` would compute the plan twice (once to count, once to write); a table is written in one run. With
+    ``path``, the rows are added to the table that is there.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docsieve/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_dir(spark)}/docsieve/{label}-{uuid.uuid4().hex}"
+    df.write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
