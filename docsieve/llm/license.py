@@ -1,15 +1,19 @@
 r"""License scans by a positional rare-token index, in DataFrame functions only.
 
-Templates are word sequences. The index keeps, for the highest-IDF words of each template, their places in it; IDF is
-taken over all documents. A file's words are scanned once for these rare words; each occurrence proposes the template
-start ``place in the file - place in the template``. A start on which two rare words of a template agree is a candidate
-(intersection of postings by relative position); it counts if the mandatory key phrase stands at its place and at least
-``coverage`` of the template's words stand at theirs. A base phrase is a template whose key phrase is all of it, so
-exactly its places are found.
+Templates are word sequences, each with a key phrase that must stand in a notice. The index keeps, for every template, its
+two leads: the highest-IDF words of its key phrase, with their places in the template; IDF is taken over all documents.
+Of a file the licence words (the words of the index) that it has are looked up, highest IDF first. A template both of
+whose leads are among them gets its postings intersected by relative position: starts ``place in the file - place in
+the template`` on which the two leads agree are candidates. A candidate counts if the key phrase stands at its place and
+at least ``coverage`` of the template's words stand at theirs. As no notice counts without its key phrase, whose words
+are the leads, none can be missed, whatever else of it is changed and whatever the IDFs are: these decide which words
+are looked up, not what is found. A base phrase is a template whose key phrase is all of it, so exactly its places are
+found.
 
 Words: A-Z lower-cased, then ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``. A null text counts as empty; a text without words gives
-zero counts, null places, empty labels. Rows are judged one by one: repeated rows and ids stay, no row meets another, so
-a hot source or long texts can't skew a shuffle; only the word counts of the index are shuffled (a row a word and task).
+zero counts, null places, empty labels; an empty table gives no rows. Rows are judged one by one: repeated rows and ids
+stay, no row meets another, so a hot source or long texts can't skew a shuffle; only the word counts of the index are
+shuffled (a row a word and task). Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -65,10 +69,10 @@ class Template:
         self.key, key_words = key.split(), key.split()
         self.key_at = next(i for i in range(len(self.words)) if self.words[i : i + len(key_words)] == key_words)
 
-    def rare(self, idf: dict[str, float], n: int) -> list[tuple[str, int]]:
-        """The n highest-IDF words (ties: first in the template) with their first place."""
-        first = {w: i for i, w in reversed(list(enumerate(self.words)))}
-        return sorted(first.items(), key=lambda x: (-idf[x[0]], x[1]))[:n]
+    def leads(self, idf: dict[str, float]) -> list[tuple[str, int]]:
+        """The two highest-IDF words of the key phrase (ties: first in it) with their first place there, in the template."""
+        first = {w: self.key_at + i for i, w in reversed(list(enumerate(self.key)))}
+        return sorted(first.items(), key=lambda x: (-idf[x[0]], x[1]))[:2]
 
 
 def templates(base: dict[str, str], notices: tuple) -> list[Template]:
@@ -95,24 +99,24 @@ def license_scan(
     """``id, n_words, matches array<struct<label, base, start, coverage>>``; starts count words from 0."""
     df = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     ts = templates(base, notices)
-    vocabulary = sorted({w for t in ts for w in t.words})
-    idf = word_idf(df, "text", vocabulary)
-    index = [(t, t.rare(idf, 2 if t.base else 3)) for t in ts]
-    rare = sorted({w for _, r in index for w, _ in r})
-    hit = "array<struct<w:string,p:int>>"
+    idf = word_idf(df, "text", sorted({w for t in ts for w in t.key}))
+    index = [(t, t.leads(idf)) for t in ts]
+    asked = sorted({w for _, leads in index for w, _ in leads}, key=lambda w: (-idf[w], w))
     scanned = once(df.select("id", "text"), words_of(F.col("text")), "words").select("id", "words", F.size("words").cast("long").alias("n_words"))
-    places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(rare))
-    hits = F.transform(places, lambda i: F.struct(F.element_at("words", i).alias("w"), (i - 1).alias("p")))
+    # the file's licence words, highest IDF first, and the templates that these leave possible
+    scanned = once(scanned, F.array_intersect(F.array(*map(F.lit, asked)), "words"), "mine")
+    possible = F.filter(literal_index(index), lambda t: F.forall(t["leads"], lambda x: F.array_contains("mine", x["w"])))
     none = F.array().cast("array<struct<label:string,base:boolean,start:int,coverage:double>>")
-    scanned = once(scanned, F.when(F.size("words") > 0, hits).otherwise(F.array().cast(hit)), "hits")
+    scanned = once(scanned, F.when(F.size("mine") > 0, possible), "possible")
+    places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(asked))
+    hits = F.transform(places, lambda i: F.struct(F.element_at("words", i).alias("w"), (i - 1).alias("p")))
+    scanned = once(scanned, F.when(F.size("possible") > 0, hits), "hits")
 
-    def starts(t: Column, k: int) -> Column:
-        word, at = F.get(t["rare"], F.lit(k))["w"], F.get(t["rare"], F.lit(k))["p"]
-        return F.transform(F.filter("hits", lambda h: (h["w"] == word) & (h["p"] >= at)), lambda h: h["p"] - at)
+    def starts(lead: Column) -> Column:
+        return F.transform(F.filter("hits", lambda h: (h["w"] == lead["w"]) & (h["p"] >= lead["p"])), lambda h: h["p"] - lead["p"])
 
     def found(t: Column) -> Column:
-        one, two, three = (starts(t, k) for k in range(3))  # of two rare words the third has no starts
-        agreed = F.array_distinct(F.concat(F.array_intersect(one, two), F.array_intersect(one, three), F.array_intersect(two, three)))
+        agreed = F.array_distinct(F.array_intersect(starts(F.get(t["leads"], F.lit(0))), starts(F.get(t["leads"], F.size(t["leads"]) - 1))))
         kept = F.filter(agreed, lambda s: F.slice("words", s + 1 + t["key_at"], F.size(t["key"])) == t["key"])
         share = lambda s: F.aggregate(
             F.zip_with(F.slice("words", s + 1, F.size(t["words"])), t["words"], lambda a, b: F.when(a == b, 1).otherwise(0)),
@@ -122,17 +126,17 @@ def license_scan(
         rows = F.transform(kept, lambda s: F.struct(t["label"].alias("label"), t["base"].alias("base"), s.alias("start"), share(s).alias("coverage")))
         return F.filter(rows, lambda m: m["coverage"] >= F.when(t["base"], 1.0).otherwise(coverage))
 
-    matches = F.when(F.size("hits") > 0, F.flatten(F.transform(literal_index(index), found))).otherwise(none)
+    matches = F.when(F.size("hits") > 0, F.flatten(F.transform("possible", found))).otherwise(none)
     return scanned.select("id", "n_words", matches.alias("matches"))
 
 
 def literal_index(index: list[tuple[Template, list[tuple[str, int]]]]) -> Column:
-    """The index as one literal of the plan: label, base, words, key, key_at, rare words with their places."""
+    """The index as one literal of the plan: label, base, words, key, key_at, leads with their places."""
     text = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
     texts = lambda ws: f"array({', '.join(map(text, ws))})"
-    one = lambda t, rare: (
+    one = lambda t, leads: (
         f"named_struct('label', {text(t.label)}, 'base', {str(t.base).lower()}, 'words', {texts(t.words)}, 'key', {texts(t.key)}, "
-        f"'key_at', {t.key_at}, 'rare', array({', '.join(f"named_struct('w', {text(w)}, 'p', {p})" for w, p in rare)}))"
+        f"'key_at', {t.key_at}, 'leads', array({', '.join(f"named_struct('w', {text(w)}, 'p', {p})" for w, p in leads)}))"
     )
     return F.expr(f"array({', '.join(one(*x) for x in index)})")
 
