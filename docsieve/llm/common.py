@@ -10,18 +10,36 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, shared_dir, spread, stored, table
 
-__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "map_texts", "sampled", "shared_dir", "spread", "stored", "table"]
+__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "sampled", "shared_dir", "spread", "stored", "table"]
 
 #: ASCII white space; words are the runs between these characters. ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sampled(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About four times ``most`` rows of the smallest hashes of their id, or all, so that taking the first ``most`` of
-    them by hash moves a bounded number of rows whatever the table's size. The same rows at every partitioning."""
-    share = min(1.0, 4.0 * most / max(1, df.count()))
-    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int(share * (1 << 40)))
+def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """The ``most`` rows of the smallest hashes of ``key``, or all if there are no more: the same at every partitioning.
+    The rows are counted first, so that what is sorted and moved has a bound whatever the table's size."""
+    h = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    share = 1.25 * most / max(1, rows.count())
+    order = (h, *(c for c in rows.columns))
+    few = rows.filter(h < int(share * (1 << 40))) if share < 1 else rows
+    if share < 1 and few.count() < most:  # rows that repeat have one hash
+        few = rows
+    return few.orderBy(*order).limit(most)
+
+
+def joined(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, most: int = 100_000, least: int = 64) -> DataFrame:
+    """``rows`` joined with the stored table ``keyed``, one row a key, whose column ``size`` says how many of the ``total``
+    rows have the key (it is left out of the result).
+
+    Keys with more than ``total / most`` rows, so at most ``most`` of them, go to every task; the others meet in a shuffle.
+    No key's rows all come to one task, however many there are, and what is broadcast has a bound.
+    """
+    limit = max(least, total // most)
+    hot, cold = (keyed.filter(F.col(size) > limit).drop(size), keyed.filter(F.col(size) <= limit).drop(size))
+    beside = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(beside.join(cold, key))
 
 
 def map_texts(

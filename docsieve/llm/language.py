@@ -5,10 +5,11 @@ the language family; inside a family, one-versus-one linear support vector machi
 Both levels are linear, so a text is scored in one gather of weight rows for its n-grams.
 
 Families are a fixed table of ISO 639-1 codes; languages outside it form one family of their own kind. Learning takes at
-most ``sample`` of the labelled rows (those with the smallest hash of their id); it and predictions read whole texts. A
-null text or one without a letter is ``und`` with score 0. The score is the logistic margin of the family times that of
-the closest pair, so a text of one letter comes out low. Repeated rows are predicted alike; nothing but the sample is
-shuffled.
+most ``sample`` of the labelled rows, as many of each language as of any other where there are so many (those with the
+smallest hash of id and text); it and predictions read whole texts. A null text or one without a letter is ``und`` with
+score 0. The score is the logistic margin of the family times that of the closest pair, so a text of one letter comes out
+low; a tie of votes goes to the name that sorts first. Repeated rows are predicted alike, an empty table gives no rows;
+nothing but the sample is shuffled, and only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts
@@ -101,13 +102,10 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not has_letter(text) or not self.langs:
             return "und", 0.0
-        grams = ngrams(text)
-        if len(grams) > 4096:
-            counts = np.bincount(grams, minlength=1 << BITS).astype(np.float32)
-            margins, norm = counts @ self.weights[:-1], np.linalg.norm(counts)
-        else:
-            _, counts = np.unique(grams, return_counts=True)
-            margins, norm = self.weights[grams].sum(0), np.sqrt((counts.astype(np.float64) ** 2).sum())
+        counts = np.bincount(ngrams(text), minlength=1 << BITS)
+        at = np.flatnonzero(counts)  # one order of summing for texts of every length
+        x = counts[at].astype(np.float64)
+        margins, norm = x @ self.weights[at], np.sqrt(x @ x)
         margins = dict(zip(self.pairs, (margins / norm + self.weights[-1]).tolist()))
         family, sure = self._vote(self.families, margins)
         lang, surer = self._vote([x for x in self.langs if family_of(x) == family], margins)
@@ -142,19 +140,38 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model:
     return Model(known, families, pairs, w.astype(np.float32))
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows of each language to take, ``most`` in all: as even as the counts allow, and one at least."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
 def train(df: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000) -> Model:
-    """A model from ``sample`` labelled rows with a letter where ``use`` holds, or all if there are fewer."""
+    """A model from ``sample`` labelled rows with a letter where ``use`` holds, or all if there are fewer. Languages share
+    the sample evenly, so that a rare one is not lost."""
     rows = df.filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", "text", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"), "id", F.xxhash64("text").alias("th"))
-    first = lambda few: few.orderBy("h", "id", "th", "lang").limit(sample)
-    # whole texts become features on the executors; only the chosen rows' features go to the driver
-    sparse = lambda few: few.select("lang", "h", "id", "th", _sparse("text").alias("x"))
-    share = 1.25 * sample / max(1, rows.count())  # of the rows that can be used: so many hashes hold the smallest ``sample``
-    chosen = first(sparse(rows.filter(F.col("h") < int(min(1.0, share) * (1 << 40))))).collect()
-    if share < 1 and len(chosen) < sample:  # ids that repeat have one hash
-        chosen = sparse(first(rows)).orderBy("h", "id", "th", "lang").collect()
-    return fit([_unpacked(r["x"]) for r in chosen], [r["lang"] for r in chosen])
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    wanted = quotas(counts, sample)
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)).alias("h"), "id")
+    near = F.lit(False)  # of the rows that can be used: so many hashes hold the smallest ones of each language
+    for lang, n in wanted.items():
+        near = near | ((F.col("lang") == lang) & (F.col("h") < int(min(1.0, 1.25 * n / counts[lang]) * (1 << 40))))
+
+    def chosen(few: DataFrame) -> list:
+        # whole texts become features on the executors; only the chosen rows' features go to the driver
+        w = Window.partitionBy("lang").orderBy("h", "id")
+        quota = F.element_at(F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv)), F.col("lang"))
+        first = few.withColumn("n", F.row_number().over(w)).filter((F.col("n") <= max(wanted.values())) & (F.col("n") <= quota))
+        return first.select("lang", "h", "id", _sparse(F.col("text")).alias("x")).orderBy("lang", "h", "id").collect()
+
+    found = chosen(rows.filter(near)) if wanted else []
+    if len(found) < sum(wanted.values()):  # rows that repeat have one hash
+        found = chosen(rows) if wanted else []
+    return fit([_unpacked(r["x"]) for r in found], [r["lang"] for r in found])
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

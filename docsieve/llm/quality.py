@@ -6,11 +6,13 @@ the rows, then pruned from its end on the other third; the rows it covers leave,
 would not be precise enough. The list becomes one ordered ``when ... when ... otherwise`` expression of Spark, so that
 judging runs inside the scan and the rules can be read.
 
-Learning takes at most ``sample`` labelled rows, those with the smallest hash of their id; labels that are null or not
-0/1 are not used. With no labels, or one class alone, the list is empty and keeps everything the base rule keeps.
+Learning takes at most ``sample`` labelled rows: of those that can be used (a label of 0 or 1, a document of that id that
+the base rule keeps), the ones with the smallest hash of their id. With no labels, or one class alone, the list is empty
+and keeps everything the base rule keeps.
 
 Words: runs of ``[^\x20\x09-\x0D]``. A null text has no words (all statistics 0) and fails the base rule. Repeated rows
-are judged alike. Only (id, statistics) are joined with the labels, never the texts.
+are judged alike. Only (id, statistics) are joined with the labels, never the texts. An empty table gives no rows. A text
+of any length is judged whole, in memory of its words' size; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -171,9 +173,10 @@ def decision(rules: list[Rule]) -> Column:
 
 
 def learned_rules(shared: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", sample: int = 20000) -> list[Rule]:
-    """Rules for label 0, from statistics with shares and a label table."""
-    known = sampled(labels, label_id, sample).select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
-    rows = shared.select("id", *TESTED).join(known, "id").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id", "y").limit(sample).toPandas()
+    """Rules for label 0, from statistics with shares and a label table. Only rows that have both count as labelled."""
+    known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
+    usable = stored(shared.select("id", *TESTED).join(known, "id"), "labelled")
+    rows = sampled(usable, sample, "id").toPandas()
     x = {c: rows[c].to_numpy(float) for c in TESTED}
     return learn(x, (rows["y"].to_numpy() == 0).astype(int))
 
