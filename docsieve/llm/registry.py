@@ -62,7 +62,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(EXTRA[1]).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(chat.format_conversations(rows.withColumn("parts", chat.text_parts(F.col("text")))))
+    return chat.digests(chat.format_conversations(rows.withColumn("parts", chat.line_parts(F.col("text")))))
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars
+       sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attached_tokens
 FROM marked GROUP BY conv_id
 """,
     "op10_topk_search": """
