@@ -3,16 +3,18 @@
 A query's terms are the dimensions. In a shard (a batch of candidates held by dimension) a term's contribution lies
 between two bounds, from the least and largest value of that dimension there. Shifted by the lower bounds all
 contributions are positive, and terms whose upper bounds together stay below the query's threshold, its k-th best score
-so far, are non-essential: no candidate gets in by them alone. The essential postings are traversed for the whole shard;
-the others are probed, strongest first, only for candidates whose bound still reaches the threshold. Each task keeps its
-k best a query; the shards' lists are merged by a ranking that is cut before and after its shuffle.
+so far, are non-essential: no candidate gets in by them alone. A shard's candidates stand in blocks of alike vectors with
+bounds of their own, so postings of the essential terms are traversed, strongest term first, only in blocks whose bounds
+reach the threshold, and only while a candidate's bound still does; then the others are probed for what is left. Each task
+keeps its k best a query; the shards' lists are merged by a ranking that is cut before and after its shuffle.
 
-Queries are sent out in blocks of at most about ``block`` vectors, one pass over the candidates each, so what is
-broadcast does not grow with the table.
+Queries are sent out in blocks of at most about ``block`` vectors. A block's result is written before the next block is
+read, and what was broadcast for it is taken back: neither the driver nor the plan grows with the number of queries.
 
 Vectors that are null or hold a null or non-finite component, and rows with a null id, take no part. Shorter vectors
 count as padded with zeros. A query never meets rows of its own id; equal rows of a query are asked once. Ties go to the
-smaller id. Of repeated candidate rows each takes its own rank.
+smaller id. Of repeated candidate rows each takes its own rank. An empty table gives no rows; only the two columns named
+and those of the query condition are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, stored
 
-#: Non-essential terms probed at a time.
-PROBE = 8
+#: Terms traversed or probed between two looks at the bounds, and candidates in a block of a shard.
+PROBE, BLOCK = 8, 64
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -38,12 +40,18 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 
 class Shard:
-    """A batch of candidates by dimension with each dimension's bounds."""
+    """A batch of candidates by dimension with each dimension's bounds, in all and in blocks of alike vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T)
-        self.low, self.high = self.columns.min(1), self.columns.max(1)
+        plain = vectors.astype(float)
+        above = plain > np.median(plain, axis=0)  # vectors on one side in the dimensions that vary most stand together
+        strong = np.argsort(-np.var(plain, axis=0), kind="stable")[:12]
+        order = np.lexsort((ids, *above[:, strong[::-1]].T))
+        self.ids, rows = ids[order], vectors[order]
+        self.columns = np.ascontiguousarray(rows.T)
+        starts = np.arange(0, len(ids), BLOCK)
+        self.block_low, self.block_high = np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts)
+        self.low, self.high = self.block_low.min(0), self.block_high.max(0)
 
     def search(self, q: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of at most k best with a score of ``least`` or more."""
@@ -51,19 +59,28 @@ class Shard:
         lower, upper = np.minimum(a, b), np.maximum(a, b)
         spread_ = upper - lower
         order = np.argsort(-spread_, kind="stable")
-        tail = np.append(np.cumsum(spread_[order][::-1])[::-1], 0.0)  # what the terms from here on can add to their lower bounds
-        base = lower.sum()
-        essential = order if np.isneginf(least) else order[: int(np.searchsorted(-tail, -(least - base), side="left"))]
-        at, rest = len(essential), order[len(essential) :]
-        score = q[essential] @ self.columns[essential]
-        alive = np.nonzero(score + upper[rest].sum() >= least)[0]
-        score = score[alive]
-        while at < len(order) and len(alive):
-            terms = order[at : at + PROBE]
-            at += PROBE
-            score = score + q[terms] @ self.columns[np.ix_(terms, alive)]
-            fit = score + upper[order[at:]].sum() >= least
-            alive, score = alive[fit], score[fit]
+        tail = np.append(np.cumsum(upper[order][::-1])[::-1], 0)  # the most that the terms from here on can give
+        if least == -np.inf:
+            alive, score = np.arange(len(self.ids)), q @ self.columns
+        else:
+            gain = np.append(np.cumsum(spread_[order][::-1])[::-1], 0)
+            essential = int(np.searchsorted(-gain, -(least - lower.sum()), side="left"))  # the others can't lift a candidate to it
+            if not essential:
+                essential = len(order) if gain[0] + lower.sum() >= least else 0
+                if not essential:
+                    return self.ids[:0], np.zeros(0)
+            reach = np.maximum(q * self.block_low, q * self.block_high).sum(1)
+            blocks = np.nonzero(reach >= least)[0]
+            alive = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            alive = alive[alive < len(self.ids)]
+            score = np.zeros(len(alive), self.columns.dtype)
+            at = 0
+            while at < len(order) and len(alive):
+                end = min(at + PROBE, essential if at < essential else len(order))
+                terms = order[at:end]
+                score = score + q[terms] @ self.columns[np.ix_(terms, alive)]
+                fit = score + tail[end] >= least
+                alive, score, at = alive[fit], score[fit], end
         other = self.ids[alive] != own
         ids, score = self.ids[alive][other], score[other]
         best = np.lexsort((ids, -score))[:k]
@@ -79,6 +96,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+RESULT = "query_id long, rank int, vec_id long, score long"
+
+
 def _search_block(candidates: DataFrame, sent, k: int) -> DataFrame:  # noqa: ANN001
     """Each task's k best of every query of the block."""
 
@@ -119,7 +139,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     asked = rows.filter("asks").select("id", "v").distinct()
     n = asked.count()
     blocks = max(1, -(-n // block))
-    candidates, parts, number = spread(rows.select("id", "v")), [], 0
+    candidates, number, path = spread(rows.select("id", "v")), 0, None
     for part in range(blocks):
         mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == part).orderBy("id").toArrow() if n else None
         if mine is None or not mine.num_rows:
@@ -129,11 +149,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
         keys = mine.column("id").to_numpy()
         sent = df.sparkSession.sparkContext.broadcast((np.arange(number, number + len(keys)), keys, queries))
         number += len(keys)
-        parts.append(_search_block(candidates, sent, k))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        path = stored(_merged(_search_block(candidates, sent, k), k), "best", path).stored_path
+        sent.destroy()
+    if path is None:
+        return df.sparkSession.createDataFrame([], RESULT)
+    return df.sparkSession.read.schema(RESULT).parquet(path)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The shards' lists to one a query."""
     w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
