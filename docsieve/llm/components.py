@@ -1,7 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Each step is a group-by and a join on the node, so no component ever meets in one task; a hot node's rows are combined
-before the shuffle, and AQE may split its join. Steps are written to the shared folder, older ones deleted.
+Each step is a group-by and a join on the node, so no component ever meets in one task. A hot node's rows are combined
+before the shuffle of the group-by, and its join needs no shuffle: nodes with more than a hundred-thousandth of all links
+(at least 64) are at most 100,000, and their smallest neighbours go to every task. Steps are written to the shared
+folder, older ones deleted.
 """
 
 from __future__ import annotations
@@ -9,20 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, joined, stored
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Links u, v with m, the smallest v of u; and the table of it, to be deleted when the step is written."""
+    least = stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")), "least")
+    return joined(links, least, "u", "many", total), least
+
+
+def _large_star(e: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rows, least = _with_least(both, 2 * total)
+    return rows.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), least
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return moved.filter("u <> v")
+def _small_star(e: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    rows, least = _with_least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), total)
+    moved = rows.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    return moved.filter("u <> v"), least
 
 
 def _signature(e: DataFrame) -> tuple:
@@ -36,8 +43,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _signature(now)
     while before[0]:
-        after = stored(_small_star(_large_star(now)).distinct(), "links")
-        dropped(now)
+        large, one = _large_star(now, before[0])
+        large = stored(large.distinct(), "links")
+        small, two = _small_star(large, before[0])
+        after = stored(small.distinct(), "links")
+        for old in (now, large, one, two):
+            dropped(old)
         now, signature = after, _signature(after)
         if signature == before:
             break

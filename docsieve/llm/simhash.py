@@ -13,7 +13,8 @@ within two bits of one another, and two that are share one, so links to the smal
 components with no pairs. Components come from large-star and small-star steps.
 
 Words: A-Z lower-cased, runs of ``[^\x20\x09-\x0D]``. Null and empty texts have fingerprint zero and link like any
-other. Repeated rows stay in the result. A null id never is a component's id unless all its ids are null.
+other. Repeated rows stay in the result. A null id never is a component's id unless all its ids are null. An empty table
+gives no rows. A text of any length is read whole, its shingles in pieces; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import joined, map_texts, stored
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -150,11 +151,19 @@ def near_duplicates(
 ) -> DataFrame:
     """``id, th, fp, root, component_id`` for every row: the smallest fingerprint and the smallest id reachable."""
     docs = stored(fingerprints(df, id_col, text_col, width, seed), "fingerprints")
-    each = stored(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = components(links(each, most))
-    each = each.join(found, each.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(each.select("fp", "root").join(ids, "root"), "fp").select("id", "th", "fp", "root", "component_id")
+    each = stored(docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("many")), "distinct")
+    return grouped(docs, each, components(links(each, most))).select("id", "th", "fp", "root", "component_id")
+
+
+def grouped(docs: DataFrame, each: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with ``root, component_id``: from stored tables ``docs`` (fp, ...), ``each`` (fp, least id, many) and the
+    components ``found`` (node, root). No fingerprint's or component's rows come to one task, however many there are."""
+    rooted = each.join(found, each.fp == found.node, "left").select("fp", "least", "many", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "rooted")
+    ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "roots")
+    total = docs.count()
+    known = stored(joined(rooted.drop("least"), ids, "root", "fps", total), "known")
+    return joined(docs, known, "fp", "many", total)
 
 
 def digest(found: DataFrame) -> DataFrame:
