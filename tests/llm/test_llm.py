@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docsieve.llm import bpe, chat, components, jaccard, language, license, packing, quality, registry, secrets, simhash, substrings, topk
+from docsieve.llm import bpe, chat, common, components, jaccard, language, license, packing, quality, registry, secrets, simhash, substrings, topk
 
 WORDS = r"[^\x20\x09-\x0D]+"
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,15 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
+def test_local_folder_only_in_local_sessions(spark, monkeypatch):
+    """On a cluster without spark.checkpoint.dir there is no folder that all see, so there is an error instead."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(common.shared_dir, "own", None, raising=False)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            common.shared_dir(spark)
+
+
 def rows_of(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
 
@@ -72,6 +81,36 @@ def test_license_notice_with_a_word_changed(spark):
     assert got[1]["labels"] == "bsd" and 0.8 <= got[1]["score"] < 1 and got[2]["labels"] == ""
 
 
+def brute_licenses(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(license.UPPER, license.LOWER)))
+    found = []
+    for t in license.templates(license.BASE, license.NOTICES):
+        for k in range(len(w)):
+            if w[k + t.key_at : k + t.key_at + len(t.key)] == t.key:
+                share = sum(a == b for a, b in zip(w[k:], t.words)) / len(t.words)
+                if share >= (1 if t.base else 0.8):
+                    found.append((t.label, share))
+    return ",".join(sorted({x for x, _ in found})), max((c for _, c in found), default=0.0)
+
+
+def test_license_notices_with_any_words_changed(spark):
+    """Up to a third of a notice's words changed, several notices in a text, in tables that make different words rare."""
+    rng = np.random.default_rng(3)
+    for common in ("", " permission redistribution software public domain gnu mozilla binary hereby free"):
+        rows = []
+        for k in range(150):
+            w = [f"pre{k}"]
+            for n in rng.integers(0, len(license.NOTICES), rng.integers(1, 3)):
+                said = license.NOTICES[n][1].split()
+                for at in rng.integers(0, len(said), rng.integers(0, 1 + len(said) // 3)):
+                    said[at] = f"x{at}"
+                w += said + ["and", "the"]
+            rows.append((k, " ".join(w) + common))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: (r["labels"], r["score"]) for r in license.digest(license.license_scan(df)).collect()}
+        assert got == {k: brute_licenses(t) for k, t in rows}
+
+
 def test_packing(docs, empty, spark):
     got = packing.pack_documents(docs, JSON, P.PATTERN, 2, 64).collect()
     from tokenizers import Tokenizer
@@ -246,6 +285,21 @@ def test_links_give_all_components(spark, most, pairwise):
     assert all(got.get(x, x) == root(x) for x in f)
 
 
+def test_joined_splits_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), "id")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("many"), F.max("id").alias("top"))
+    got = common.joined(rows, sizes, "k", "many", 5000)
+    assert got.columns == ["k", "id", "top"] and got.count() == 5000 and got.filter("k = 7 and top = 2999").count() == 3000
+    assert common.sampled(rows, 100, "id").count() == 100 and common.sampled(rows, 9000, "id").count() == 5000
+    assert common.sampled(rows.withColumn("id", F.lit(1)), 10, "id").count() == 10
+
+
+def test_components_of_a_star_and_a_long_chain(spark):
+    e = spark.range(1, 500).select(F.lit(500).cast("long").alias("u"), F.col("id").alias("v")).unionByName(spark.range(600, 640).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    got = components.components(e)
+    assert got.count() == 541 and got.filter("node <= 500 and root <> 1 or node > 500 and root <> 600").count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     found = components.components(e)
@@ -278,6 +332,31 @@ def test_quality_statistics(docs, spark, empty):
     assert quality.quality_rules(docs, labels.limit(0))[1] == []
 
 
+def test_quality_learns_from_few_labels_of_many(spark):
+    """A thousandth of the documents has a usable label; all of these reach the learner, and the verdict of every row is
+    what the printed rules say."""
+    odd = F.when(F.col("id") % 2 == 0, "").otherwise("!!")
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i, odd)))
+    docs = spark.range(60000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    use = F.col("id") % 1000 < 2
+    labels = spark.range(60000).select(F.col("id").alias("doc_id"), F.when(use, 1 - F.col("id") % 2).otherwise(F.when(F.col("id") % 2 == 0, 7)).alias("quality"))
+    judged, rules = quality.quality_rules(docs, labels, sample=100)
+    assert rules and judged.filter(~F.col("base_failed") & (F.col("kept") != (F.col("id") % 2 == 0))).count() == 0
+    for r in judged.filter("id < 300").collect():
+        hit = any(all(r[n] >= t if up else r[n] < t for n, up, t in rule.conditions) for rule in rules)
+        assert r["kept"] == (not r["base_failed"] and not hit)
+
+
+def test_quality_on_held_out_labels(spark):
+    """Rules learned from two thirds of the labels judge the rest: few good documents go, most bad ones do."""
+    at = "/root/testdata/sf0.1/"
+    docs, labels = spark.read.parquet(at + "documents.parquet"), spark.read.parquet(at + "labels.parquet")
+    judged, _ = quality.quality_rules(docs, labels.filter("doc_id % 3 <> 0"))
+    seen = judged.filter("not base_failed").join(labels.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "id"), "id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r["quality"]: r["kept"] for r in seen.collect()}
+    assert kept[1] > 0.98 and kept[0] < 0.15
+
+
 def test_quality_rules_are_learned():
     rng = np.random.default_rng(0)
     x = {"a": rng.random(3000), "b": rng.random(3000)}
@@ -307,6 +386,55 @@ def test_language(spark, docs, empty):
     assert none.langs == [] and none.predict("abc") == ("und", 0.0)
 
 
+def test_language_sample_is_even(spark):
+    """A language of a thousandth of the labelled rows is learned, however small the sample's share of the table."""
+    lang = F.when(F.col("id") % 1000 == 1, "fr").otherwise("en")
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("words in "), lang, F.lit(" "), "id").alias("text"), lang.alias("lang"))
+    assert language.train(df, F.lit(True), sample=60).langs == ["en", "fr"]
+    assert language.quotas({"a": 5, "b": 1000, "c": 900}, 300) == {"a": 5, "c": 147, "b": 148} and language.quotas({}, 5) == {}
+
+
+CLOSE = {
+    "da": "jeg ikke hvad har været også af nogle", "no": "jeg ikke hva har vært også av noen", "sv": "jag inte vad har varit också av några",
+    "es": "el perro no tiene que hacer lo mismo", "pt": "o cão não tem que fazer o mesmo", "gl": "o can non ten que facer o mesmo",
+}
+
+
+def brute_vote(model, text):
+    """Family first, then the language inside it, by votes of the pairs; counts and margins in plain loops."""
+    n = Counter(language.ngrams(text).tolist())
+    size = sum(c * c for c in n.values()) ** 0.5
+    margin = {p: sum(c * float(model.weights[g, k]) for g, c in n.items()) / size + float(model.weights[-1, k]) for k, p in enumerate(model.pairs)}
+
+    def best(names):
+        wins = {x: sum(1 + 1e-6 * np.tanh(abs(m)) for (a, b), m in margin.items() if {a, b} <= set(names) and x == (a if m >= 0 else b)) for x in names}
+        return max(names, key=lambda x: (wins[x], -names.index(x)))
+
+    family = best(model.families)
+    return best([x for x in model.langs if language.family_of(x) == family])
+
+
+def test_close_languages_and_votes(spark):
+    """Three languages in each of two families; predictions equal a plain vote over all pairs; words are unseen orders."""
+    rng = np.random.default_rng(0)
+    rows = [(k, " ".join(rng.permutation(CLOSE[lang].split())[:6]), lang) for k in range(600) for lang in [list(CLOSE)[k % 6]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, F.col("doc_id") < 400)
+    assert len(model.families) == 2 and len(model.pairs) == 7
+    got = {r["id"]: r for r in language.identify(df, model).collect()}
+    held = [(i, t, lang) for i, t, lang in rows if i >= 400]
+    assert all(got[i]["lang_pred"] == brute_vote(model, t) and 0 <= got[i]["score"] <= 1 for i, t, _ in held)
+    assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in held]) > 0.95
+
+
+def test_language_scores_do_not_depend_on_a_text_length_switch():
+    x = [language._features(t) for t in ("the and of to in", "der die und das ist")]
+    model = language.fit(x, ["en", "de"])
+    one, many = "the words of it and ", 400
+    a, b = model.predict(one * many), model.predict(one * (many + 1))
+    assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3
+
+
 def test_language_learns_from_few_labelled_rows_of_many(spark):
     """The sample is of the labelled rows, wherever they lie in the table, and also if all rows have one id."""
     lang = F.when(F.col("id") % 500 < 4, F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("id") % 500 + 1).cast("int")))
@@ -474,6 +602,43 @@ def test_chat_parts(spark):
     assert [(a["turn"], a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(0, "image", "s3://a.png", 256), (0, "audio", "b.wav", 40)]
 
 
+def test_chat_parts_round_trip(spark):
+    """Random parts: neighbouring texts that join to control strings, null and unknown parts, read back from the output."""
+    rng = np.random.default_rng(0)
+    pieces = ["a<", "|end|>b", "<", "|turn|>", "\\", "[INST", "]", "</", "s>", "", None, "<|image|>", "x\ny", "<\\|says|>"]
+    rows, expected = [], []
+    for k in range(300):
+        parts, want = [], []
+        for _ in range(rng.integers(0, 7)):
+            kind = ("text", "text", "text", "image", "audio", "document", "video", None)[rng.integers(0, 8)]
+            text = pieces[rng.integers(0, len(pieces))]
+            if rng.random() < 0.1:
+                parts.append(None)
+            elif kind in chat.ATTACHMENTS:
+                parts.append((kind, text, f"r{k}", 5))
+                want.append((kind, None))
+            else:
+                parts.append((kind, text, None, None))
+                if text:
+                    want[-1:] = [("text", want[-1][1] + text)] if want and want[-1][0] == "text" else [*want[-1:], ("text", text)]
+        rows.append((k, 0, "user", parts))
+        expected.append((k, want))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,tokens:bigint>>")
+    out = chat.format_conversations(df)
+    got = out.select("conv_id", F.transform(chat.contents(F.col("formatted")), chat.read_parts).alias("back"), "attachments").collect()
+    assert sorted((r["conv_id"], [tuple(p) for p in r["back"][0]]) for r in got) == expected
+    assert all(len(r["attachments"]) == sum(x[0] != "text" for x in dict(expected)[r["conv_id"]]) for r in got)
+    said = {r["conv_id"]: (r["n_attachments"], r["attached_tokens"]) for r in chat.digests(out).collect()}
+    assert all(said[k] == (n, 5 * n) for k, w in expected for n in [sum(x[0] != "text" for x in w)])
+
+
+def test_chat_null_turns_come_first(spark):
+    rows = [(1, None, "user", "first"), (1, -200, "user", "second"), (1, 5, "user", "third")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df.withColumn("parts", chat.line_parts(F.col("text")))).orderBy("block").collect()
+    assert [x for r in out for x in re.findall("first|second|third", r["formatted"])] == ["first", "second", "third"]
+
+
 def brute_top(rows, k=5):
     ok = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max((len(v) for _, v in ok), default=0)
@@ -495,6 +660,39 @@ def test_top_k(spark, block):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_keeps_one_broadcast(spark, monkeypatch):
+    """A hundred blocks of queries: what was sent for a block is taken back before the next one is sent."""
+    live, most, real = set(), [], spark.sparkContext.broadcast
+
+    def sent(value):
+        b = real(value)
+        live.add(id(b))
+        most.append(len(live))
+        destroy = b.destroy
+        b.destroy = lambda *a: (live.discard(id(b)), destroy(*a))
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", sent)
+    rng = np.random.default_rng(1)
+    rows = [(50 * i, rng.normal(size=4).tolist()) for i in range(130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=2)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top(rows) and len(most) > 40 and max(most) == 1
+
+
+def test_top_k_in_many_shards(spark):
+    """Bounds prune whole blocks and candidates; ties at the threshold go to the smaller id."""
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-3, 4, (12, 6))
+    rows = [(i, (centres[i % 12] + rng.integers(0, 2, 6)).astype(float).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        assert rows_of(topk.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == brute_top(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_top_k_large_components(spark):
     rows = [(0, [3.0e6, -1.0]), (1, [2.0e6, 5.0]), (2, [2.0e6, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
