@@ -3,21 +3,22 @@ r"""Substring deduplication of word windows with a count-min prefilter.
 A window is ``width`` consecutive words of one document; each word covered by a window whose words also start in a
 document with a smaller id is removed, judged on the input.
 
-1. Every partition counts its windows (once a document) in two rows of counters; only touched counters are written, as
-   byte-coded gaps. The partitions' sketches are added up block by block; of each counter one bit is kept: two or more.
-   Counts are never too low, so a window of two documents always shows as repeated.
-2. A second pass over the texts keeps only windows that both rows call repeated, and groups these exactly (by 96 bits of
-   two independent hashes). A task sends each distinct window of a slice of its documents once, with the slice's
-   smallest id, as sorted columns cut into buckets of the hash; the bucket answers a bit a window, whether another slice
-   has a smaller id, and the slice works out its documents' places. A window of a third of all documents is thus one
-   entry a slice, and the bytes moved a window don't depend on the corpus.
-3. The covered words are cut from each text, which is joined to its places by id and text hash.
-
-The sketch has 1.5 to 3 counters a word and row up to ``2 ** most_bits``; its bitmap, at most ``2 ** most_bits / 4``
-bytes, is all that is broadcast. In a larger corpus the filter passes more windows; the result is the same.
+1. Each task deals its documents to slices of about ``SLICE`` windows and counts a slice's windows (once a document) in two
+   rows of counters. Only touched counters are written, as gaps, cut into blocks of counters. The slices' sketches are
+   added up block by block, and each slice gets back a bit for every counter that it touched: two or more. Counts are
+   never too low, so a window of two documents always shows as repeated.
+2. A second pass over the slices keeps only windows that both rows call repeated, and groups these exactly: a slice sends
+   each distinct one once, with its smallest id there, as sorted columns cut into buckets of the hash; the bucket answers
+   a bit a window, whether another slice has a smaller id. A window of a third of all documents is thus one entry a slice.
+3. With both answers a slice works out its documents' places and cuts the covered words.
+
+Both tables of counters are dealt by hash range and grow with the corpus (1.5 to 3 counters a word and row), so the filter
+passes the same share of windows at every size; nothing is broadcast, nothing is collected. Windows are told apart by 128
+bits, two independent sums over 64-bit word hashes: among 10^13 windows a false match is a matter of 10^-13.
 
 Words: runs of ``[^\x20\x09-\x0D]``. A null text has no words. A null id removes nothing and loses nothing. Repeated rows
-of one id don't remove each other.
+of one id don't remove each other. An empty table gives no rows. A text of any length is judged whole, in one slice;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from .common import spread, stored
 
-BLOCK_BITS = 20
-#: Windows of a partition's sketch, and of a slice, that are held in memory before they are written.
-FLUSH, SLICE = 3_000_000, 800_000
+#: Counters of a block (as a power of two), windows of a slice, and windows of a bucket, about.
+BLOCK_BITS, SLICE, BUCKET = 20, 1 << 20, 1 << 19
 
 
 def _factors(width: int) -> np.ndarray:
@@ -63,196 +64,186 @@ def window_hashes(words: list[bytes], factors: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
+class Sizes:
+    """The hash ranges for a corpus of about ``n`` words: counters of a row, blocks of counters, buckets of windows."""
+
+    def __init__(self, n: float, width: int):
+        self.bits = max(8, math.ceil(math.log2(max(2.0, 1.5 * n))))
+        self.block = min(BLOCK_BITS, self.bits)
+        self.buckets = 1 << max(6, math.ceil(math.log2(max(1.0, n / BUCKET))))
+        self.factors = _factors(width)
+
+    def cells(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
+    def windows(self, ids: list, texts: list) -> tuple[np.ndarray, ...]:
+        """(hash, other hash, place, document) of all windows of documents with an id."""
+        found = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2]
+        for doc, (key, text) in enumerate(zip(ids, texts)):
+            if key is not None and text:
+                one, two = window_hashes(text.encode().split(), self.factors)
+                found.append((one, two, np.arange(len(one)), np.full(len(one), doc)))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def pack_gaps(cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as gaps of one byte; 255 adds 255 and goes on."""
-    gaps = np.diff(cells.astype(np.int64), prepend=0)
-    long = gaps // 255
-    out = np.full(len(gaps) + int(long.sum()), 255, np.uint8)
-    out[np.cumsum(long + 1) - 1] = gaps % 255
-    return out.tobytes()
+    """Sorted distinct numbers as their gaps, byte plane by byte plane."""
+    return planes(np.diff(cells.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def unpack_gaps(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+    return np.cumsum(unplaned(data, np.uint64), dtype=np.uint64)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that the shuffle's compression takes the high planes' zeros."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
 
 
-def _sketch(texts: DataFrame, width: int, bits: int) -> DataFrame:
-    """``part, cells, counts`` for each block that a task touched; part is row * blocks + block."""
-    factors, shift = _factors(width), np.uint64(64 - bits)
-    small = min(BLOCK_BITS, bits)
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _nullable(t: DataType) -> DataType:
+    """The type with nulls allowed everywhere: sketch rows have no document."""
+    if isinstance(t, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in t.fields])
+    if isinstance(t, ArrayType):
+        return ArrayType(_nullable(t.elementType), True)
+    return MapType(t.keyType, _nullable(t.valueType), True) if isinstance(t, MapType) else t
 
-    def written(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+
+def _slices(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    """Documents ``s, id, text, carried`` with their slice, and sketch rows ``s, part, cells, counts`` for each block that a
+    slice touched; part is row * blocks + block, and null for documents."""
+    schema = _nullable(docs.schema).add("s", "long").add("part", "long").add("cells", "binary").add("counts", "binary")
+
+    def sketch(s: int, held: list[list[np.ndarray]], types: pa.Schema) -> Iterator[pa.RecordBatch]:
+        rows, blocks = [], 1 << (sizes.bits - sizes.block)
         for row in range(2):
             cells, counts = np.unique(np.concatenate(held[row]), return_counts=True)
-            held[row].clear()
-            cuts = np.searchsorted(cells, np.arange(1 << (bits - small), dtype=np.int64) << small)
-            for block, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(cells)])):
-                if b > a:
-                    inside = cells[a:b] & ((1 << small) - 1)
-                    n = np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row << (bits - small) | block], pa.int32()), pa.array([pack_gaps(inside)], pa.binary()), pa.array([zlib.compress(n, 1)], pa.binary())],
-                        ["part", "cells", "counts"],
-                    )
+            block = cells >> np.uint64(sizes.block)
+            for at, end in _runs(block):
+                n = np.minimum(counts[at:end], 255).astype(np.uint8).tobytes()
+                rows.append((s, row * blocks + int(block[at]), pack_gaps(cells[at:end] & np.uint64((1 << sizes.block) - 1)), zlib.compress(n, 1)))
+        own = dict(zip(("s", "part", "cells", "counts"), zip(*rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(len(rows), f.type) for f in types], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [[], []], 0
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(schema)
+        s, held, n = TaskContext.get().partitionId() << 24, [[], []], 0
         for b in batches:
-            for text in b.column(0):
-                one, two = window_hashes((text.as_py() or "").encode().split(), factors)
+            mine = []
+            for key, text in zip(b.column(0), b.column(1)):
+                one, two, _, _ = sizes.windows([key.as_py()], [text.as_py()])
+                mine.append(s)
                 if len(one):
                     one, first = np.unique(one, return_index=True)
-                    held[0].append((one >> shift).astype(np.uint32))
-                    held[1].append((two[first] >> shift).astype(np.uint32))
+                    held[0].append(sizes.cells(one))
+                    held[1].append(sizes.cells(two[first]))
                     n += len(one)
-                if n >= FLUSH:
-                    yield from written(held)
-                    n = 0
+                if n >= SLICE:
+                    yield from sketch(s, held, types)
+                    s, held, n = s + 1, [[], []], 0
+            empty = pa.nulls(len(mine), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mine, pa.int64()), pa.nulls(len(mine), pa.int64()), empty, empty], schema=types)
         if n:
-            yield from written(held)
+            yield from sketch(s, held, types)
 
-    return texts.mapInArrow(run, "part int, cells binary, counts binary")
+    return docs.mapInArrow(run, schema)
 
 
-def _bitmap(sketch: DataFrame, bits: int) -> np.ndarray:
-    """The counters of two or more, a row of bits for either hash."""
-    small = min(BLOCK_BITS, bits)
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal numbers."""
+    if not len(x):
+        return []
+    cuts = np.nonzero(x[1:] != x[:-1])[0] + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)]))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        counter = np.zeros(1 << small, np.uint32)
-        for cells, counts in zip(pdf["cells"], pdf["counts"]):
-            counter[unpack_gaps(cells)] += np.frombuffer(zlib.decompress(counts), np.uint8)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "repeated": [np.packbits(counter >= 2, bitorder="little").tobytes()]})
 
-    found = sketch.groupBy("part").applyInPandas(add, "part int, repeated binary")
-    repeated = np.zeros((2 << (bits - small), (1 << small) // 8), np.uint8)
-    for r in found.toLocalIterator():
-        repeated[r["part"]] = np.frombuffer(r["repeated"], np.uint8)
-    return repeated.reshape(2, -1)
+def _added(sketches: DataFrame, sizes: Sizes) -> DataFrame:
+    """``s, part, bits``: of each slice's counters in a block, in order, a bit for two or more in all slices."""
 
-
-def planes(numbers: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, so that the shuffle's compression takes the high planes' zeros."""
-    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
-
-
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        counter, cells = np.zeros(1 << sizes.block, np.uint32), [unpack_gaps(c).astype(np.int64) for c in pdf["cells"]]
+        for c, counts in zip(cells, pdf["counts"]):
+            counter[c] += np.frombuffer(zlib.decompress(counts), np.uint8)
+        return pd.DataFrame({"s": pdf["s"], "part": pdf["part"], "bits": [np.packbits(counter[c] >= 2).tobytes() for c in cells]})
+
+    return sketches.select("s", "part", "cells", "counts").groupBy("part").applyInPandas(add, "s long, part long, bits binary")
+
+
+class Slice:
+    """A slice's windows that both rows call repeated, each distinct one once, in the order of their hashes."""
+
+    def __init__(self, sizes: Sizes, ids: list, texts: list, parts: list, bits: list):
+        one, two, at, doc = sizes.windows(ids, texts)
+        keep, blocks = np.ones(len(one), bool), 1 << (sizes.bits - sizes.block)
+        for row, h in enumerate((one, two)):
+            cells, back = np.unique(sizes.cells(h), return_inverse=True)
+            block = (cells >> np.uint64(sizes.block)).astype(np.int64)
+            mine = {p - row * blocks: x for p, x in zip(parts, bits) if p // blocks == row}
+            said = [np.unpackbits(np.frombuffer(mine[int(block[a])], np.uint8), count=z - a) for a, z in _runs(block)]
+            keep &= np.concatenate([np.zeros(0, np.uint8), *said]).astype(bool)[back]
+        one, two, at, doc = one[keep], two[keep], at[keep], doc[keep]
+        order = np.lexsort((two, one))
+        self.at, self.doc = at[order], doc[order]
+        one, two = one[order], two[order]
+        self.starts = np.nonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))[0] if len(one) else np.zeros(0, np.int64)
+        self.one, self.two = one[self.starts], two[self.starts]
+        self.keys = np.array([-1 if k is None else k for k in ids], np.int64)[self.doc] if len(one) else np.zeros(0, np.int64)
+        self.least = np.minimum.reduceat(self.keys, self.starts) if len(one) else self.keys
+
+    def buckets(self, sizes: Sizes) -> list[tuple[int, int, int]]:
+        """(bucket, start, end) of the distinct windows."""
+        of = (self.one >> np.uint64(64 - int(math.log2(sizes.buckets)))).astype(np.int64)
+        return [(int(of[a]), a, z) for a, z in _runs(of)]
+
+    def gone(self, outside: np.ndarray) -> dict[int, np.ndarray]:
+        """Places of windows by document, where another slice (a bit a distinct window) or this one has a smaller id."""
+        counts = np.diff(np.append(self.starts, len(self.at)))
+        hit = np.repeat(outside, counts) | (self.keys > np.repeat(self.least, counts))
+        doc, at = self.doc[hit], self.at[hit]
+        order = np.argsort(doc, kind="stable")
+        doc, at = doc[order], at[order]
+        return {int(doc[a]): at[a:z] for a, z in _runs(doc)}
 
 
 _ASKED = "bucket int, s long, a binary, b binary, c binary"
 
 
-def _asked(docs: DataFrame, width: int, bits: int, buckets: int, repeated) -> DataFrame:  # noqa: ANN001
-    """For each slice s of a task's documents, its distinct windows estimated repeated, sorted, cut into buckets of their
-    first bits: hashes (a, b) and the smallest id of the slice (c, after their least). One more row, with b empty in its bucket's place,
-    says where in the slice they stand: see ``_own``."""
-    factors, shift, top = _factors(width), np.uint64(64 - bits), np.uint64(64 - int(math.log2(buckets)))
+def _asked(docs: DataFrame, added: DataFrame, sizes: Sizes) -> DataFrame:
+    """Of each slice the distinct windows estimated repeated, cut into buckets of their first bits: hashes (a, b) and the
+    smallest id of the slice (c, after their least)."""
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        table = repeated.value
-        held, docs_, n = [], [], 0
-        for b in batches:
-            for key, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                one, two = window_hashes((text.as_py() or "").encode().split(), factors)
-                if key is None or not len(one):
-                    continue
-                at = np.arange(len(one))
-                for row, h in enumerate((one, two)):
-                    cell = (h[at] >> shift).astype(np.int64)
-                    at = at[(table[row, cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)]
-                if len(at):
-                    held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), at.astype(np.uint32), np.full(len(at), len(docs_), np.uint32)))
-                    docs_.append((key, th))
-                    n += len(at)
-                if n >= SLICE:
-                    full, known, held, docs_, n = held, docs_, [], [], 0
-                    yield full, known
-                    del full, known
-        if n:
-            yield held, docs_
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = Slice(sizes, left["id"].to_pylist(), left["text"].to_pylist(), right["part"].to_pylist(), right["bits"].to_pylist())
+        s = left["s"][0].as_py() if left.num_rows else 0
+        rows = [
+            (k, s, planes(np.diff(x.one[a:z], prepend=np.uint64(0))), planes(x.two[a:z]), planes(np.append(x.least[a:z].min(), x.least[a:z] - x.least[a:z].min())))
+            for k, a, z in x.buckets(sizes)
+        ]
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.table(dict(zip(("bucket", "s", "a", "b", "c"), (pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (held, docs_) in enumerate(slices(batches)):
-            part = TaskContext.get().partitionId()
-            s = part << 20 | number
-            one, two, at, doc = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            order = np.lexsort((two, one))
-            one, two, at, doc = one[order], two[order], at[order], doc[order]
-            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-            starts = np.nonzero(new)[0]
-            keys = np.array([k for k, _ in docs_], np.int64)
-            least = np.minimum.reduceat(keys[doc], starts)
-            one, two = one[starts], two[starts]
-            cuts = np.append(np.searchsorted(one, np.arange(buckets, dtype=np.uint64) << top), len(one)) if buckets > 1 else np.array([0, len(one)])
-            rows = []
-            for k in np.nonzero(np.diff(cuts))[0].tolist():
-                cut = slice(cuts[k], cuts[k + 1])
-                rows.append((k, s, planes(np.diff(one[cut], prepend=np.uint64(0))), planes(two[cut]), planes(np.append(least[cut].min(), least[cut] - least[cut].min()))))
-            counts = np.diff(np.append(starts, len(at))).astype(np.uint32)
-            known = np.array(docs_, np.int64).tobytes()
-            rows.append((-1 - (part + 7919 * number) % buckets, s, planes(at) + planes(doc), planes(counts), known))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "s", "a", "b", "c"]
-            )
-
-    return docs.select("id", "th", "text").mapInArrow(run, _ASKED)
+    return docs.select("s", "id", "text").groupBy("s").cogroup(added.groupBy("s")).applyInArrow(ask, _ASKED)
 
 
 def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for each slice's windows, a bit where another slice has a smaller id; other rows pass."""
-    passed, asked = pdf[pdf["bucket"] < 0], pdf[pdf["bucket"] >= 0]
-    if not len(asked):
-        return passed
-    one = [np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for x in asked["a"]]
+    """Of one bucket: for each slice's windows, a bit where another slice has a smaller id."""
+    one = [np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for x in pdf["a"]]
     sizes = np.array([len(x) for x in one])
-    one = np.concatenate(one)
-    two = np.concatenate([unplaned(x, np.uint32) for x in asked["b"]])
-    least = np.concatenate([x[1:] + x[0] for x in (unplaned(c, np.int64) for c in asked["c"])])
+    one, two = np.concatenate(one), np.concatenate([unplaned(x, np.uint64) for x in pdf["b"]])
+    least = np.concatenate([x[1:] + x[0] for x in (unplaned(c, np.int64) for c in pdf["c"])])
     order = np.lexsort((two, one))
     new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
     smallest = np.minimum.reduceat(least[order], np.nonzero(new)[0])
     smaller = np.empty(len(one), bool)
     smaller[order] = smallest[np.cumsum(new) - 1] < least[order]
-    bits = [np.packbits(x).tobytes() for x in np.split(smaller, np.cumsum(sizes)[:-1])]
-    out = pd.DataFrame({"bucket": asked["bucket"].to_numpy(), "s": asked["s"].to_numpy(), "a": bits, "b": [int(n).to_bytes(8, "little") for n in sizes], "c": [b""] * len(bits)})
-    return pd.concat([out, passed], ignore_index=True)
-
-
-def _own(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one slice: ``id, th, at`` of its documents with windows that start in one with a smaller id."""
-    me = pdf[pdf["bucket"] < 0].iloc[0]
-    answers = pdf[pdf["bucket"] >= 0].sort_values("bucket")
-    outside = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=int.from_bytes(b, "little")) for a, b in zip(answers["a"], answers["b"])]).astype(bool)
-    known = np.frombuffer(me["c"], np.int64).reshape(-1, 2)
-    half = len(me["a"]) // 2
-    at, doc = unplaned(me["a"][:half], np.uint32), unplaned(me["a"][half:], np.uint32)
-    counts = unplaned(me["b"], np.uint32).astype(np.int64)
-    keys = known[doc, 0]
-    least = np.minimum.reduceat(keys, np.cumsum(counts) - counts)
-    gone = np.repeat(outside, counts) | (keys > np.repeat(least, counts))
-    at, doc = at[gone], doc[gone]
-    order = np.lexsort((at, doc))
-    at, doc = at[order], doc[order]
-    which, first = np.unique(doc, return_index=True)
-    return pd.DataFrame({"id": known[which, 0], "th": known[which, 1], "at": [pack_gaps(x) for x in np.split(at, first[1:])] if len(which) else []})
-
-
-def repeated_places(docs: DataFrame, width: int, most_bits: int, windows_a_bucket: int = 1 << 19) -> DataFrame:
-    """``id, th, at binary``: where windows start that also start in a document with a smaller id, as packed gaps."""
-    n = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # about the words
-    bits = max(8, min(most_bits, math.ceil(math.log2(max(2, 1.5 * n)))))
-    repeated = docs.sparkSession.sparkContext.broadcast(_bitmap(_sketch(docs.select("text"), width, bits), bits))
-    buckets = 1 << max(6, math.ceil(math.log2(max(1, n / windows_a_bucket))))
-    asked = _asked(docs, width, bits, buckets, repeated)
-    bucket = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    answered = asked.groupBy(bucket.alias("k")).applyInPandas(_answered, _ASKED)
-    found = answered.groupBy("s").applyInPandas(_own, "id long, th long, at binary")
-    # written before the texts are shuffled: both at once would have the heap and the Python workers full together
-    return stored(found, "places").groupBy("id", "th").agg(F.first("at").alias("at"))  # repeated rows say the same
+    return pd.DataFrame({"s": pdf["s"], "part": -1 - pdf["bucket"].astype("int64"), "bits": [np.packbits(x).tobytes() for x in np.split(smaller, np.cumsum(sizes)[:-1])]})
 
 
 def kept_words(text: str | None, at: np.ndarray | None, width: int) -> tuple[int, bytes]:
@@ -271,7 +262,6 @@ def substring_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 13,
-    most_bits: int = 28,
     carry: tuple[str, ...] = (),
     keep_layout: bool = False,
 ) -> DataFrame:
@@ -280,27 +270,32 @@ def substring_dedup(
     ``kept_text`` is the kept words joined by one space; with ``keep_layout``, the text itself where no word goes.
     """
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"), carried.alias("carried"))
-    docs = spread(docs)
-    places = repeated_places(docs, width, most_bits)
-    joined = docs.join(places, ["id", "th"], "left").select("id", "text", "at", "carried")
-    schema = joined.drop("text", "at").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, gone, kept = [], [], []
-            for text, at in zip(b.column(1), b.column(2)):
-                text = text.as_py()
-                n, words = kept_words(text, unpack_gaps(at.as_py()) if at.is_valid else None, width)
-                counts.append(n)
-                gone.append(n - len(words.split()))
-                kept.append(text if keep_layout and not gone[-1] else words.decode())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(3), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                ["id", "carried", "n_words", "n_removed", "kept_text"],
-            )
-
-    return joined.mapInArrow(run, schema)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
+    sizes = Sizes((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6, width)  # about the words
+    sliced = stored(_slices(spread(docs), sizes), "slices")
+    docs = sliced.filter("part is null").select("s", "id", "text", "carried")
+    added = stored(_added(sliced.filter("part is not null"), sizes), "added")
+    asked = _asked(docs, added, sizes)
+    answered = asked.groupBy("bucket").applyInPandas(_answered, "s long, part long, bits binary")
+    # written before the texts are shuffled: both at once would have the heap and the Python workers full together
+    answers = added.unionByName(stored(answered, "answered"))
+    schema = _nullable(docs.select("id", "carried").schema).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, texts, parts, bits = (c.to_pylist() for c in (left["id"], left["text"], right["part"], right["bits"]))
+        sketched, said = [k for k, p in enumerate(parts) if p >= 0], {-1 - p: b for p, b in zip(parts, bits) if p < 0}
+        x = Slice(sizes, ids, texts, [parts[k] for k in sketched], [bits[k] for k in sketched])
+        outside = [np.unpackbits(np.frombuffer(said[k], np.uint8), count=z - a) for k, a, z in x.buckets(sizes)]
+        places = x.gone(np.concatenate([np.zeros(0, np.uint8), *outside]).astype(bool))
+        counts, gone, kept = [], [], []
+        for k, text in enumerate(texts):
+            n, words = kept_words(text, places.get(k), width)
+            counts.append(n)
+            gone.append(n - len(words.split()))
+            kept.append(text if keep_layout and not gone[-1] else words.decode())
+        return pa.table({"id": left["id"], "carried": left["carried"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+
+    return docs.groupBy("s").cogroup(answers.groupBy("s")).applyInArrow(cut, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

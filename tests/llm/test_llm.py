@@ -546,20 +546,37 @@ def brute_kept(rows, width=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("flush", "part"), [(10**6, 10**6), (50, 20)])
-def test_substrings(docs, empty, spark, monkeypatch, flush, part):
-    """Also with sketches and slices of a few windows."""
-    monkeypatch.setattr(substrings, "FLUSH", flush)
+@pytest.mark.parametrize(("part", "block", "bucket"), [(10**6, 20, 10**6), (20, 5, 40)])
+def test_substrings(docs, empty, spark, monkeypatch, part, block, bucket):
+    """Also with slices, blocks and buckets of a few windows."""
     monkeypatch.setattr(substrings, "SLICE", part)
+    monkeypatch.setattr(substrings, "BLOCK_BITS", block)
+    monkeypatch.setattr(substrings, "BUCKET", bucket)
     got = substrings.digest(substrings.substring_dedup(docs))
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_kept(TEXTS)
     rng = np.random.default_rng(0)
     rows = [(int(i), " ".join(rng.choice(list("ab"), 60))) for i in rng.permutation(60)]
+    rows += [(70, "long " + " ".join(rng.choice(list("abc"), 30000))), (None, None), (None, None), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert rows_of(substrings.digest(substrings.substring_dedup(df)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_kept(rows)
     assert substrings.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [50, 800])
+def test_the_prefilter_passes_a_bounded_share(spark, monkeypatch, n):
+    """At every size and with small blocks: of windows that stand once, the counters pass about (1 - e^-0.5)^2 or less."""
+    monkeypatch.setattr(substrings, "SLICE", 3000)
+    monkeypatch.setattr(substrings, "BLOCK_BITS", 8)
+    rng = np.random.default_rng(n)
+    rows = [(i, " ".join(f"w{x:05d}" for x in rng.integers(0, 99999, 300))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("carried", F.struct(F.lit(0).alias("none"))).repartition(4)
+    sizes = substrings.Sizes(300 * n, 13)
+    sliced = substrings._slices(df, sizes).cache()
+    added = substrings._added(sliced.filter("part is not null"), sizes)
+    asked = substrings._asked(sliced.filter("part is null"), added, sizes).select(F.sum(F.octet_length("b") / 8)).first()[0]
+    assert 0 < asked / (288 * n) < 0.3
+
+
 def test_gaps_and_planes():
     rng = np.random.default_rng(0)
     for n in (1, 5, 500):
