@@ -34,12 +34,14 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from .common import spread, stored
 
 #: Counters of a block (as a power of two), windows of a slice, and windows of a bucket, about.
 BLOCK_BITS, SLICE, BUCKET = 20, 1 << 20, 1 << 19
+#: Characters of documents that are packed as one value, about: values of megabytes burden the JVM's heap.
+PIECE = 1 << 19
 
 
 def _factors(width: int) -> np.ndarray:
@@ -92,34 +94,47 @@ def pack_gaps(cells: np.ndarray) -> bytes:
 
 
 def unpack_gaps(data: bytes) -> np.ndarray:
-    return np.cumsum(unplaned(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(unplaned(data), dtype=np.uint64)
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, so that the shuffle's compression takes the high planes' zeros."""
-    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    """Numbers from 0 byte plane by byte plane, behind the count of planes that are needed."""
+    x = np.ascontiguousarray(numbers, dtype="<u8")
+    k = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return bytes([k]) + x.view(np.uint8).reshape(len(x), 8)[:, :k].T.tobytes() + len(x).to_bytes(8, "little")
 
 
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def unplaned(data: bytes) -> np.ndarray:
+    k, n = data[0], int.from_bytes(data[-8:], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :k] = np.frombuffer(data, np.uint8, k * n, 1).reshape(k, n).T
+    return out.view("<u8").ravel()
 
 
-def _nullable(t: DataType) -> DataType:
-    """The type with nulls allowed everywhere: sketch rows have no document."""
-    if isinstance(t, StructType):
-        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in t.fields])
-    if isinstance(t, ArrayType):
-        return ArrayType(_nullable(t.elementType), True)
-    return MapType(t.keyType, _nullable(t.valueType), True) if isinstance(t, MapType) else t
+_SLICED = "s long, part long, data binary, counts binary"
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """Rows as a compressed Arrow stream: a third of what the shuffle's own compression makes of texts."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in data])
 
 
 def _slices(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    """Documents ``s, id, text, carried`` with their slice, and sketch rows ``s, part, cells, counts`` for each block that a
-    slice touched; part is row * blocks + block, and null for documents."""
-    schema = _nullable(docs.schema).add("s", "long").add("part", "long").add("cells", "binary").add("counts", "binary")
+    """Of documents ``id, text, carried``: rows of each slice s with its documents in ``data`` (part is null), and with its
+    sketch, ``data, counts`` for each block that it touched (part is row * blocks + block)."""
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["s", "part", "data", "counts"])
 
-    def sketch(s: int, held: list[list[np.ndarray]], types: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def sketch(s: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows, blocks = [], 1 << (sizes.bits - sizes.block)
         for row in range(2):
             cells, counts = np.unique(np.concatenate(held[row]), return_counts=True)
@@ -127,33 +142,33 @@ def _slices(docs: DataFrame, sizes: Sizes) -> DataFrame:
             for at, end in _runs(block):
                 n = np.minimum(counts[at:end], 255).astype(np.uint8).tobytes()
                 rows.append((s, row * blocks + int(block[at]), pack_gaps(cells[at:end] & np.uint64((1 << sizes.block) - 1)), zlib.compress(n, 1)))
-        own = dict(zip(("s", "part", "cells", "counts"), zip(*rows)))
-        yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(len(rows), f.type) for f in types], schema=types)
+        yield rows_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        types = to_arrow_schema(schema)
         s, held, n = TaskContext.get().partitionId() << 24, [[], []], 0
         for b in batches:
-            mine = []
-            for key, text in zip(b.column(0), b.column(1)):
-                one, two, _, _ = sizes.windows([key.as_py()], [text.as_py()])
-                mine.append(s)
+            begun, raw = 0, 0
+            for at, (key, text) in enumerate(zip(b.column(0), b.column(1)), 1):
+                text = text.as_py()
+                raw += len(text or "")
+                one, two, _, _ = sizes.windows([key.as_py()], [text])
                 if len(one):
                     one, first = np.unique(one, return_index=True)
                     held[0].append(sizes.cells(one))
                     held[1].append(sizes.cells(two[first]))
                     n += len(one)
+                if n >= SLICE or raw >= PIECE:
+                    yield rows_of([(s, None, _packed(b.slice(begun, at - begun)), None)])
+                    begun, raw = at, 0
                 if n >= SLICE:
-                    yield from sketch(s, held, types)
+                    yield from sketch(s, held)
                     s, held, n = s + 1, [[], []], 0
-            empty = pa.nulls(len(mine), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mine, pa.int64()), pa.nulls(len(mine), pa.int64()), empty, empty], schema=types)
+            if begun < b.num_rows:
+                yield rows_of([(s, None, _packed(b.slice(begun)), None)])
         if n:
-            yield from sketch(s, held, types)
+            yield from sketch(s, held)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _SLICED)
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -168,12 +183,12 @@ def _added(sketches: DataFrame, sizes: Sizes) -> DataFrame:
     """``s, part, bits``: of each slice's counters in a block, in order, a bit for two or more in all slices."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        counter, cells = np.zeros(1 << sizes.block, np.uint32), [unpack_gaps(c).astype(np.int64) for c in pdf["cells"]]
+        counter, cells = np.zeros(1 << sizes.block, np.uint32), [unpack_gaps(c).astype(np.int64) for c in pdf["data"]]
         for c, counts in zip(cells, pdf["counts"]):
             counter[c] += np.frombuffer(zlib.decompress(counts), np.uint8)
         return pd.DataFrame({"s": pdf["s"], "part": pdf["part"], "bits": [np.packbits(counter[c] >= 2).tobytes() for c in cells]})
 
-    return sketches.select("s", "part", "cells", "counts").groupBy("part").applyInPandas(add, "s long, part long, bits binary")
+    return sketches.groupBy("part").applyInPandas(add, "s long, part long, bits binary")
 
 
 class Slice:
@@ -220,24 +235,24 @@ def _asked(docs: DataFrame, added: DataFrame, sizes: Sizes) -> DataFrame:
     smallest id of the slice (c, after their least)."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = Slice(sizes, left["id"].to_pylist(), left["text"].to_pylist(), right["part"].to_pylist(), right["bits"].to_pylist())
-        s = left["s"][0].as_py() if left.num_rows else 0
+        s, docs = left["s"][0].as_py(), _unpacked(left["data"].to_pylist())
+        x = Slice(sizes, docs["id"].to_pylist(), docs["text"].to_pylist(), right["part"].to_pylist(), right["bits"].to_pylist())
         rows = [
-            (k, s, planes(np.diff(x.one[a:z], prepend=np.uint64(0))), planes(x.two[a:z]), planes(np.append(x.least[a:z].min(), x.least[a:z] - x.least[a:z].min())))
+            (k, s, pack_gaps(x.one[a:z]), planes(x.two[a:z]), int(x.least[a:z].min()).to_bytes(8, "little", signed=True) + planes(x.least[a:z] - x.least[a:z].min()))
             for k, a, z in x.buckets(sizes)
         ]
         cols = list(zip(*rows)) or [()] * 5
         return pa.table(dict(zip(("bucket", "s", "a", "b", "c"), (pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))))))
 
-    return docs.select("s", "id", "text").groupBy("s").cogroup(added.groupBy("s")).applyInArrow(ask, _ASKED)
+    return docs.groupBy("s").cogroup(added.groupBy("s")).applyInArrow(ask, _ASKED)
 
 
 def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: for each slice's windows, a bit where another slice has a smaller id."""
-    one = [np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for x in pdf["a"]]
+    one = [unpack_gaps(x) for x in pdf["a"]]
     sizes = np.array([len(x) for x in one])
-    one, two = np.concatenate(one), np.concatenate([unplaned(x, np.uint64) for x in pdf["b"]])
-    least = np.concatenate([x[1:] + x[0] for x in (unplaned(c, np.int64) for c in pdf["c"])])
+    one, two = np.concatenate(one), np.concatenate([unplaned(x) for x in pdf["b"]])
+    least = np.concatenate([unplaned(c[8:]).astype(np.int64) + int.from_bytes(c[:8], "little", signed=True) for c in pdf["c"]])
     order = np.lexsort((two, one))
     new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
     smallest = np.minimum.reduceat(least[order], np.nonzero(new)[0])
@@ -272,17 +287,18 @@ def substring_dedup(
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     sizes = Sizes((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6, width)  # about the words
+    schema = StructType([*docs.select("id", "carried").schema.fields]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     sliced = stored(_slices(spread(docs), sizes), "slices")
-    docs = sliced.filter("part is null").select("s", "id", "text", "carried")
+    docs = sliced.filter("part is null").select("s", "data")
     added = stored(_added(sliced.filter("part is not null"), sizes), "added")
     asked = _asked(docs, added, sizes)
     answered = asked.groupBy("bucket").applyInPandas(_answered, "s long, part long, bits binary")
     # written before the texts are shuffled: both at once would have the heap and the Python workers full together
     answers = added.unionByName(stored(answered, "answered"))
-    schema = _nullable(docs.select("id", "carried").schema).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, parts, bits = (c.to_pylist() for c in (left["id"], left["text"], right["part"], right["bits"]))
+        docs, parts, bits = _unpacked(left["data"].to_pylist()), right["part"].to_pylist(), right["bits"].to_pylist()
+        ids, texts = docs["id"].to_pylist(), docs["text"].to_pylist()
         sketched, said = [k for k, p in enumerate(parts) if p >= 0], {-1 - p: b for p, b in zip(parts, bits) if p < 0}
         x = Slice(sizes, ids, texts, [parts[k] for k in sketched], [bits[k] for k in sketched])
         outside = [np.unpackbits(np.frombuffer(said[k], np.uint8), count=z - a) for k, a, z in x.buckets(sizes)]
@@ -293,7 +309,7 @@ def substring_dedup(
             counts.append(n)
             gone.append(n - len(words.split()))
             kept.append(text if keep_layout and not gone[-1] else words.decode())
-        return pa.table({"id": left["id"], "carried": left["carried"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"id": docs["id"], "carried": docs["carried"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     return docs.groupBy("s").cogroup(answers.groupBy("s")).applyInArrow(cut, schema)
 
