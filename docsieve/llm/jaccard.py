@@ -1,17 +1,22 @@
-r"""Near-duplicates by the exact Jaccard similarity of word shingles.
+r"""Near-duplicates by the exact Jaccard similarity of word shingles, on top of Golay-code fuzzy hashing.
 
 A document is the set of its shingles of five words (``width``). Two are near copies if their sets have a Jaccard
-similarity of 0.8 (``least``) or more; a group is what such pairs connect. A 64-bit fingerprint can't find these pairs:
-at 0.8 they differ by about ten bits. Candidates are therefore documents that share a MinHash key, one of 24 of five
-minima each. A pair at 0.8 shares none with a probability of 7 in 100,000, one at 0.9 with one of 10^-9. Every candidate
-is verified on the whole sets.
+similarity of 0.8 (``least``) or more; a group is what such pairs connect. Every candidate is verified on the whole sets.
+
+Candidates come from two kinds of keys. Golay keys (see ``simhash``) join the sets' 64-bit fingerprints that differ in at
+most two bits: the copies and the long texts with few changes. They can't find all: at 0.8 fingerprints differ by about
+ten bits. So documents also meet at MinHash keys, 24 of five minima each. A pair at 0.8 shares none with a probability of
+7 in 100,000, one at 0.9 with one of 10^-9.
 
 Equal sets are merged before. Documents of one key are first compared with its smallest one; the groups that come of it
 are then compared where they still meet: all members of a key outside its largest group, with all of its other groups.
-So a large group of copies costs no pairs, and no pair is left out unless a path of verified links joins it already.
+So a large group of copies costs no pairs, and no pair is left out unless a path of verified links joins it already, or
+its sketches (512 bins of the hash range, each with two bits of its smallest hash) are farther apart than ever seen at 0.8
+but once in 100,000 pairs. A key's members are dealt to blocks, so that no task gets all pairs of a key.
 
 Words: A-Z lower-cased, runs of ``[^\x20\x09-\x0D]``; a text of fewer than five is one shingle, null and empty texts
-are equal. Sets are those of 64-bit shingle hashes. Repeated rows stay in the result.
+are equal. Sets are those of 64-bit shingle hashes. Repeated rows stay in the result; an empty table gives no rows; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import joined, map_texts, stored
 from .components import components
-from .simhash import text_hash
+from .simhash import grouped, links, text_hash
 
-BANDS, MINIMA = 24, 5
+BANDS, MINIMA, BINS = 24, 5, 512
+#: Members of a key that one task compares with those outside the key's largest group.
+PART = 512
 _RNG = np.random.default_rng(0)
 _A = _RNG.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64)
@@ -57,18 +64,48 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def fingerprint_of(grams: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set: a bit is 1 if set in over half its hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 15):
+        ones += np.unpackbits(grams[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
+
+
+def bins_of(grams: np.ndarray) -> np.ndarray:
+    """The sketch of a set, sorted: for each bin of the hash range whether it holds a hash, and two bits of its smallest
+    one; three rows of bits in longs."""
+    bins = (grams >> np.uint64(64 - 9)).astype(np.int64)
+    first = np.nonzero(np.append(True, bins[1:] != bins[:-1]))[0] if len(grams) else np.zeros(0, np.int64)
+    rows = np.zeros((3, BINS), bool)
+    mixed = (grams[first] * _A[0] + _B[0]) >> np.uint64(62)
+    rows[0, bins[first]], rows[1, bins[first]], rows[2, bins[first]] = True, mixed & np.uint64(1), mixed >> np.uint64(1)
+    return np.packbits(rows, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def _estimate(a: str, b: str) -> Column:
+    """The Jaccard similarity as two sketches tell it: of the bins that either fills, those whose smallest hashes agree;
+    different ones agree in two bits one time in four."""
+    n = BINS // 64
+    x, y = (lambda k, c=c: F.get(c, F.lit(k)) for c in (a, b))
+    total = lambda f: sum((F.bit_count(f(k)) for k in range(1, n)), F.bit_count(f(0)))
+    both, some = total(lambda k: x(k).bitwiseAND(y(k))), total(lambda k: x(k).bitwiseOR(y(k)))
+    apart = total(lambda k: x(n + k).bitwiseXOR(y(n + k)).bitwiseOR(x(2 * n + k).bitwiseXOR(y(2 * n + k))).bitwiseAND(x(k).bitwiseAND(y(k))))
+    return (both - apart * 4 / 3) / F.greatest(some, F.lit(1))
+
+
 def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, th, fp, n, keys``: ``fp`` is the hash of the whole set, ``n`` its size."""
+    """``id, th, fp, n, code, keys, bins``: ``fp`` is the hash of the whole set, ``n`` its size, ``code`` its fingerprint."""
 
     def work() -> Callable:
         def f(ids: list, texts: list) -> list:
             sets = [shingles(t, width) for t in texts]
             fps = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) for s in sets]
-            return [ids, [text_hash(t) for t in texts], fps, list(map(len, sets)), list(map(keys_of, sets))]
+            return [ids, [text_hash(t) for t in texts], fps, list(map(len, sets)), list(map(fingerprint_of, sets)), list(map(keys_of, sets)), list(map(bins_of, sets))]
 
         return f
 
-    return map_texts(df, id_col, text_col, "id long, th long, fp long, n long, keys array<long>", work)
+    return map_texts(df, id_col, text_col, "id long, th long, fp long, n long, code long, keys array<long>, bins array<long>", work)
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -84,37 +121,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").filter(both / (F.size("a") + F.size("b") - both) >= least).select("u", "v")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """``id, th, root, component_id`` for every row: a number of its group and the smallest id of it."""
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, slack: float = 0.1) -> DataFrame:
+    """``id, th, root, component_id`` for every row: a number of its group and the smallest id of it. Pairs whose sketches
+    say less than ``least - slack`` are not compared."""
     docs = stored(_sketches(df, id_col, text_col, width), "sketches")
-    each = docs.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    first = {c: F.first(c).alias(c) for c in ("n", "code", "keys", "bins")}
+    each = docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.min(F.struct("id", "th")).alias("of"), *first.values())
     each = stored(each, "distinct")
+
+    codes = stored(each.groupBy("code").agg(F.min("fp").alias("c"), F.count("*").alias("sets")), "codes")
+    total = each.count()
+    near = links(codes.select(F.col("code").alias("fp"))).join(codes.select(F.col("code").alias("u"), F.col("c").alias("a")), "u")
+    near = near.join(codes.select(F.col("code").alias("v"), F.col("c").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = joined(each.select("code", "fp"), codes, "code", "sets", total).filter("fp <> c").select(F.col("c").alias("u"), F.col("fp").alias("v"))
+
     keyed = stored(each.select("fp", "n", F.explode("keys").alias("key")), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n")).alias("c")).filter("many > 1")
-    met = stored(keyed.join(sizes.select("key", "c"), "key"), "met")
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n")).alias("c")).filter("many > 1"), "sizes")
+    met = stored(joined(keyed, sizes, "key", "many", total * BANDS), "met")
 
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-6  # noqa: E731, sizes that allow for it
-    stars = met.filter(F.col("fp") != F.col("c.fp")).filter(alike("n", "c.n")).select(F.col("c.fp").alias("u"), F.col("fp").alias("v")).distinct()
+    stars = met.filter(F.col("fp") != F.col("c.fp")).filter(alike("n", "c.n")).select(F.col("c.fp").alias("u"), F.col("fp").alias("v"))
+    stars = stored(stars.unionByName(near).unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
 
-    wanted = each.join(met.select("fp").distinct(), "fp").select("fp", "of.id", "of.th")
+    asked = met.select("fp").unionByName(stars.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
+    wanted = each.join(asked, "fp").select("fp", "of.id", "of.th")
     rows = df.select(F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"), F.col(text_col).alias("text"))
     rows = rows.join(wanted, F.col("a").eqNullSafe(F.col("id")) & (F.col("b") == F.col("th"))).select("fp", "text")
     sets = stored(_sets(rows, width), "sets").dropDuplicates(["fp"])  # repeated rows
     sets = stored(sets, "sets")
 
-    links = stored(_verified(stars, sets, least), "links")
-    found = stored(components(links), "groups")
+    verified = stored(_verified(stars, sets, least), "links")
+    found = stored(components(verified), "groups")
     now = met.join(found, met.fp == found.node, "left").select("key", "fp", "n", F.col("c.fp").alias("c"), F.coalesce("root", "fp").alias("root"))
     now = stored(now, "grouped")
     groups = now.groupBy("key", "root").agg(F.count("*").alias("many"))
-    mixed = groups.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1")
-    left = stored(now.join(mixed.select("key", F.col("main.root").alias("main")), "key").filter("fp <> c"), "left")
-    a = left.filter("root <> main").select("key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-    b = left.select("key", F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"))
-    pairs = a.join(b, "key").filter("xr <> yr").filter(alike("xn", "yn")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    mixed = groups.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("k"), F.sum("many").alias("many")).filter("k > 1")
+    mixed = mixed.select("key", "many", F.col("main.root").alias("main"), F.ceil(F.col("many") / PART).cast("int").alias("parts"))
+    left = joined(now, stored(mixed, "mixed"), "key", "many", total * BANDS).filter("fp <> c")
+    left = stored(left.join(each.select("fp", "bins"), "fp"), "left")
+    a = left.filter("root <> main").select("key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("bins").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    b = left.select("key", F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("bins").alias("yb"), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
+    close = (F.col("xr") != F.col("yr")) & alike("xn", "yn") & (_estimate("xb", "yb") >= least - slack)
+    pairs = a.join(b, ["key", "part"]).filter(close).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     more = stored(_verified(pairs, sets, least), "links")
     found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-
-    each = each.join(found, each.fp == found.node, "left").select("fp", F.col("least"), F.coalesce("root", "fp").alias("root"))
-    ids = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.select("id", "th", "fp").join(each.select("fp", "root").join(ids, "root"), "fp").select("id", "th", "root", "component_id")
+    return grouped(docs.select("id", "th", "fp"), each.select("fp", "least", "many"), found).select("id", "th", "root", "component_id")

@@ -240,6 +240,21 @@ def test_near_duplicate_stage(spark):
     assert rows_of(found, "id", "component_id") == sorted(((i, least[r]) for (i, _), r in zip(rows, root)), key=repr)
 
 
+def test_sketches_estimate_similarity(spark):
+    """At a similarity of 0.8 no sketches of 500 pairs of small and large sets say less than 0.7."""
+    rng = np.random.default_rng(0)
+    pairs, true = [], []
+    for k in range(500):
+        n = int(rng.integers(5, 3000))
+        both, own = rng.integers(0, 2**64, 8 * n, dtype=np.uint64), rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([both, x])) for x in (own[:n], own[n:])]
+        pairs.append((k, *(jaccard.bins_of(x).tolist() for x in sets)))
+        true.append(len(np.intersect1d(*sets)) / len(np.union1d(*sets)))
+    df = spark.createDataFrame(pairs, "k int, a array<long>, b array<long>")
+    got = [r["e"] for r in df.select("k", jaccard._estimate("a", "b").alias("e")).orderBy("k").collect()]
+    assert np.allclose(true, 0.8, atol=1e-3) and min(got) > 0.7 and abs(np.mean(got) - 0.8) < 0.01
+
+
 def test_golay_keys_meet():
     rng = np.random.default_rng(0)
     f = rng.integers(-(2**63), 2**63 - 1, 3000, dtype=np.int64)
