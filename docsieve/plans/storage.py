@@ -45,6 +45,12 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now. It does so when the driver collects garbage, which a large
+    heap puts off for up to half an hour."""
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition a core: a table of one file with one row group would run as one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
