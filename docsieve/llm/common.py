@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import dropped, shared_dir, spread, stored, table
+from ..plans.storage import dropped, released, shared_dir, spread, stored, table
 
-__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "sampled", "shared_dir", "spread", "stored", "table"]
+__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "released", "sampled", "shared_dir", "spread", "stored", "table"]
 
 #: ASCII white space; words are the runs between these characters. ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"

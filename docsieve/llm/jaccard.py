@@ -10,9 +10,9 @@ ten bits. So documents also meet at MinHash keys, 24 of five minima each. A pair
 
 Equal sets are merged before. Documents of one key are first compared with its smallest one; the groups that come of it
 are then compared where they still meet: all members of a key outside its largest group, with all of its other groups.
-So a large group of copies costs no pairs, and no pair is left out unless a path of verified links joins it already, or
-its sketches (512 bins of the hash range, each with two bits of its smallest hash) are farther apart than ever seen at 0.8
-but once in 100,000 pairs. A key's members are dealt to blocks, so that no task gets all pairs of a key.
+So a large group of copies costs no pairs, and no pair is left out unless a path of verified links joins it already. What
+is left of a key is dealt to blocks of members; a task has two blocks, takes all their overlaps as a product of matrices
+and gives out at most one link a member: pairs are never rows.
 
 Words: A-Z lower-cased, runs of ``[^\x20\x09-\x0D]``; a text of fewer than five is one shingle, null and empty texts
 are equal. Sets are those of 64-bit shingle hashes. Repeated rows stay in the result; an empty table gives no rows; other
@@ -24,17 +24,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, map_texts, stored
+from .common import dropped, joined, map_texts, released, stored
 from .components import components
 from .simhash import grouped, links, text_hash
 
-BANDS, MINIMA, BINS = 24, 5, 512
-#: Members of a key that one task compares with those outside the key's largest group.
-PART = 512
+BANDS, MINIMA = 24, 5
+#: Members of a block that a task compares with another, and columns of a matrix.
+PART, COLUMNS = 512, 4096
 _RNG = np.random.default_rng(0)
 _A = _RNG.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64)
@@ -72,45 +73,31 @@ def fingerprint_of(grams: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
 
 
-def bins_of(grams: np.ndarray) -> np.ndarray:
-    """The sketch of a set, sorted: for each bin of the hash range whether it holds a hash, and two bits of its smallest
-    one; three rows of bits in longs."""
-    bins = (grams >> np.uint64(64 - 9)).astype(np.int64)
-    first = np.nonzero(np.append(True, bins[1:] != bins[:-1]))[0] if len(grams) else np.zeros(0, np.int64)
-    rows = np.zeros((3, BINS), bool)
-    mixed = (grams[first] * _A[0] + _B[0]) >> np.uint64(62)
-    rows[0, bins[first]], rows[1, bins[first]], rows[2, bins[first]] = True, mixed & np.uint64(1), mixed >> np.uint64(1)
-    return np.packbits(rows, axis=1, bitorder="little").view("<i8").ravel()
-
-
-def _estimate(a: str, b: str) -> Column:
-    """The Jaccard similarity as two sketches tell it: of the bins that either fills, those whose smallest hashes agree;
-    different ones agree in two bits one time in four."""
-    n = BINS // 64
-    x, y = (lambda k, c=c: F.get(c, F.lit(k)) for c in (a, b))
-    total = lambda f: sum((F.bit_count(f(k)) for k in range(1, n)), F.bit_count(f(0)))
-    both, some = total(lambda k: x(k).bitwiseAND(y(k))), total(lambda k: x(k).bitwiseOR(y(k)))
-    apart = total(lambda k: x(n + k).bitwiseXOR(y(n + k)).bitwiseOR(x(2 * n + k).bitwiseXOR(y(2 * n + k))).bitwiseAND(x(k).bitwiseAND(y(k))))
-    return (both - apart * 4 / 3) / F.greatest(some, F.lit(1))
-
-
 def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, th, fp, n, code, keys, bins``: ``fp`` is the hash of the whole set, ``n`` its size, ``code`` its fingerprint."""
+    """``id, th, fp, n, code, keys``: ``fp`` is the hash of the whole set, ``n`` its size, ``code`` its fingerprint."""
 
     def work() -> Callable:
         def f(ids: list, texts: list) -> list:
             sets = [shingles(t, width) for t in texts]
             fps = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) for s in sets]
-            return [ids, [text_hash(t) for t in texts], fps, list(map(len, sets)), list(map(fingerprint_of, sets)), list(map(keys_of, sets)), list(map(bins_of, sets))]
+            return [ids, [text_hash(t) for t in texts], fps, list(map(len, sets)), list(map(fingerprint_of, sets)), list(map(keys_of, sets))]
 
         return f
 
-    return map_texts(df, id_col, text_col, "id long, th long, fp long, n long, code long, keys array<long>, bins array<long>", work)
+    return map_texts(df, id_col, text_col, "id long, th long, fp long, n long, code long, keys array<long>", work)
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
+    """``fp, grams``, each once a task."""
+
     def work() -> Callable:
-        return lambda fps, texts: [fps, [shingles(t, width).view(np.int64) for t in texts]]
+        seen: set[int] = set()
+
+        def f(fps: list, texts: list) -> list:
+            new = [k for k, fp in enumerate(fps) if not (fp in seen or seen.add(fp))]
+            return [[fps[k] for k in new], [shingles(texts[k], width).view(np.int64) for k in new]]
+
+        return f
 
     return map_texts(df, "fp", "text", "fp long, grams array<long>", work)
 
@@ -121,13 +108,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").filter(both / (F.size("a") + F.size("b") - both) >= least).select("u", "v")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, slack: float = 0.1) -> DataFrame:
-    """``id, th, root, component_id`` for every row: a number of its group and the smallest id of it. Pairs whose sketches
-    say less than ``least - slack`` are not compared."""
+def _side(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members, their groups, and (member, shingle) of all their shingles."""
+    grams = t.column(3).combine_chunks()
+    row = np.repeat(np.arange(len(grams)), grams.value_lengths().to_numpy())
+    return t.column(1).to_numpy(), t.column(2).to_numpy(), row, grams.flatten().to_numpy()
+
+
+def overlaps(rows: tuple, grams: tuple, sizes: tuple) -> np.ndarray:
+    """Of two blocks of sets the sizes of all intersections."""
+    shared, which = np.intersect1d(*grams), []
+    for row, g in zip(rows, grams):
+        at = np.minimum(np.searchsorted(shared, g), max(0, len(shared) - 1))
+        hit = shared[at] == g if len(shared) else np.zeros(len(g), bool)
+        order = np.argsort(at[hit], kind="stable")
+        which.append((row[hit][order], at[hit][order]))
+    out = np.zeros(sizes, np.float64)
+    for begin in range(0, len(shared), COLUMNS):
+        parts = []
+        for (row, at), n in zip(which, sizes):
+            cut = slice(*np.searchsorted(at, [begin, begin + COLUMNS]))
+            m = np.zeros((n, min(COLUMNS, len(shared) - begin)), np.float32)
+            m[row[cut], at[cut] - begin] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compared(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        (x, xr, i, g), (y, yr, j, h) = _side(left), _side(right)
+        both = overlaps((i, j), (g, h), (len(x), len(y)))
+        sizes = np.bincount(i, minlength=len(x))[:, None] + np.bincount(j, minlength=len(y))[None, :]
+        i, j = np.nonzero((both / (sizes - both) >= least) & (xr[:, None] != yr[None, :]))
+        a, b = np.arange(len(x)), len(x) + np.arange(len(y))
+        while True:  # each member takes the smallest number that it is linked to
+            before = a.copy(), b.copy()
+            np.minimum.at(b, j, a[i])
+            np.minimum.at(a, i, b[j])
+            if (a == before[0]).all() and (b == before[1]).all():
+                break
+        node, root = np.concatenate([x, y]), np.concatenate([a, b])
+        linked = np.nonzero(root != np.arange(len(node)))[0]
+        return pa.table({"u": node[linked], "v": node[root[linked]]})
+
+    return compare
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``id, th, root, component_id`` for every row: a number of its group and the smallest id of it."""
     docs = stored(_sketches(df, id_col, text_col, width), "sketches")
-    first = {c: F.first(c).alias(c) for c in ("n", "code", "keys", "bins")}
+    first = {c: F.first(c).alias(c) for c in ("n", "code", "keys")}
     each = docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.min(F.struct("id", "th")).alias("of"), *first.values())
     each = stored(each, "distinct")
+    keyed = stored(each.select("fp", "n", F.explode("keys").alias("key")), "keys")
+    each_keys, each = each, stored(each.select("fp", "least", "many", "of", "n", "code"), "sets")
+    docs_keys, docs = docs, stored(docs.select("id", "th", "fp"), "documents")
+    for old in (each_keys, docs_keys):
+        dropped(old)
 
     codes = stored(each.groupBy("code").agg(F.min("fp").alias("c"), F.count("*").alias("sets")), "codes")
     total = each.count()
@@ -135,34 +176,44 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     near = near.join(codes.select(F.col("code").alias("v"), F.col("c").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = joined(each.select("code", "fp"), codes, "code", "sets", total).filter("fp <> c").select(F.col("c").alias("u"), F.col("fp").alias("v"))
 
-    keyed = stored(each.select("fp", "n", F.explode("keys").alias("key")), "keys")
     sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n")).alias("c")).filter("many > 1"), "sizes")
     met = stored(joined(keyed, sizes, "key", "many", total * BANDS), "met")
+    dropped(keyed)
 
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-6  # noqa: E731, sizes that allow for it
     stars = met.filter(F.col("fp") != F.col("c.fp")).filter(alike("n", "c.n")).select(F.col("c.fp").alias("u"), F.col("fp").alias("v"))
     stars = stored(stars.unionByName(near).unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
 
     asked = met.select("fp").unionByName(stars.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
-    wanted = each.join(asked, "fp").select("fp", "of.id", "of.th")
+    wanted = stored(each.join(asked, "fp").select("fp", "of.id", "of.th"), "wanted")
     rows = df.select(F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"), F.col(text_col).alias("text"))
     rows = rows.join(wanted, F.col("a").eqNullSafe(F.col("id")) & (F.col("b") == F.col("th"))).select("fp", "text")
-    sets = stored(_sets(rows, width), "sets").dropDuplicates(["fp"])  # repeated rows
-    sets = stored(sets, "sets")
+    sets = stored(_sets(rows, width), "sets")
+    if sets.count() > wanted.count():  # repeated rows in several tasks
+        more, sets = sets, stored(sets.dropDuplicates(["fp"]), "sets")
+        dropped(more)
 
+    released(df.sparkSession)
     verified = stored(_verified(stars, sets, least), "links")
+    released(df.sparkSession)
     found = stored(components(verified), "groups")
-    now = met.join(found, met.fp == found.node, "left").select("key", "fp", "n", F.col("c.fp").alias("c"), F.coalesce("root", "fp").alias("root"))
+    now = met.join(found, met.fp == found.node, "left").select("key", "fp", F.col("c.fp").alias("c"), F.coalesce("root", "fp").alias("root"))
     now = stored(now, "grouped")
+    dropped(met)
     groups = now.groupBy("key", "root").agg(F.count("*").alias("many"))
     mixed = groups.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("k"), F.sum("many").alias("many")).filter("k > 1")
-    mixed = mixed.select("key", "many", F.col("main.root").alias("main"), F.ceil(F.col("many") / PART).cast("int").alias("parts"))
-    left = joined(now, stored(mixed, "mixed"), "key", "many", total * BANDS).filter("fp <> c")
-    left = stored(left.join(each.select("fp", "bins"), "fp"), "left")
-    a = left.filter("root <> main").select("key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("bins").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    b = left.select("key", F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("bins").alias("yb"), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
-    close = (F.col("xr") != F.col("yr")) & alike("xn", "yn") & (_estimate("xb", "yb") >= least - slack)
-    pairs = a.join(b, ["key", "part"]).filter(close).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    more = stored(_verified(pairs, sets, least), "links")
+    others = (F.col("many") - F.col("main.many")).alias("others")
+    mixed = stored(mixed.select("key", "many", F.col("main.root").alias("main"), *(F.ceil(c / PART).cast("int").alias(n) for c, n in ((others, "xs"), (F.col("many"), "ys")))), "mixed")
+    left = joined(now, mixed, "key", "many", total * BANDS).filter("fp <> c").withColumn("block", F.xxhash64("fp"))
+    left = stored(left.join(sets, "fp").select("key", "fp", "root", "grams", "block", "main", "xs", "ys"), "left")
+    released(df.sparkSession)
+    x = left.filter("root <> main").select("key", F.pmod("block", "xs").alias("p"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("q"), "fp", "root", "grams")
+    y = left.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("p"), F.pmod("block", "ys").alias("q"), "fp", "root", "grams")
+    by = [F.xxhash64("key", F.col("p").cast("int"), F.col("q").cast("int")).alias("part")]
+    x, y = (t.select(*by, *(F.col(c).alias(side + c) for c in ("fp", "root", "grams"))) for side, t in (("x", x), ("y", y)))
+    more = stored(x.groupBy("part").cogroup(y.groupBy("part")).applyInArrow(_compared(least), "u long, v long"), "links")
     found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    return grouped(docs.select("id", "th", "fp"), each.select("fp", "least", "many"), found).select("id", "th", "root", "component_id")
+    for old in (sets, now, stars, wanted, mixed, left, sizes, codes, verified, more):
+        dropped(old)
+    released(df.sparkSession)
+    return grouped(docs, each.select("fp", "least", "many"), found).select("id", "th", "root", "component_id")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import spread, stored
+from .common import released, spread, stored
 
 #: Counters of a block (as a power of two), windows of a slice, and windows of a bucket, about.
 BLOCK_BITS, SLICE, BUCKET = 20, 1 << 20, 1 << 19
@@ -291,10 +291,12 @@ def substring_dedup(
     sliced = stored(_slices(spread(docs), sizes), "slices")
     docs = sliced.filter("part is null").select("s", "data")
     added = stored(_added(sliced.filter("part is not null"), sizes), "added")
+    released(df.sparkSession)
     asked = _asked(docs, added, sizes)
     answered = asked.groupBy("bucket").applyInPandas(_answered, "s long, part long, bits binary")
     # written before the texts are shuffled: both at once would have the heap and the Python workers full together
     answers = added.unionByName(stored(answered, "answered"))
+    released(df.sparkSession)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         docs, parts, bits = _unpacked(left["data"].to_pylist()), right["part"].to_pylist(), right["bits"].to_pylist()

@@ -206,8 +206,10 @@ def test_simhash(docs, empty):
     assert (2,) not in kept and kept.count((8,)) == 1 and (1,) in kept
 
 
-def test_near_duplicate_stage(spark):
-    """One of each group of texts that pairs of a five-word Jaccard similarity of 0.8 or more connect, by brute force."""
+@pytest.mark.parametrize("part", [512, 5])
+def test_near_duplicate_stage(spark, monkeypatch, part):
+    """Also in blocks of few members: one of each group of texts that pairs of a five-word Jaccard similarity of 0.8 or more connect, by brute force."""
+    monkeypatch.setattr(jaccard, "PART", part)
     rng = np.random.default_rng(1)
     rows = [(None, "no id"), (9000, ""), (9001, None), (9002, "a b"), (9003, "A  b"), (9003, "A  b"), (9004, "a c")]
     shared = [f"line{k}" for k in range(40)]
@@ -240,19 +242,17 @@ def test_near_duplicate_stage(spark):
     assert rows_of(found, "id", "component_id") == sorted(((i, least[r]) for (i, _), r in zip(rows, root)), key=repr)
 
 
-def test_sketches_estimate_similarity(spark):
-    """At a similarity of 0.8 no sketches of 500 pairs of small and large sets say less than 0.7."""
+def test_overlaps_of_blocks(monkeypatch):
+    """Matrices of few columns; sets without a shingle or without a common one."""
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
     rng = np.random.default_rng(0)
-    pairs, true = [], []
-    for k in range(500):
-        n = int(rng.integers(5, 3000))
-        both, own = rng.integers(0, 2**64, 8 * n, dtype=np.uint64), rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
-        sets = [np.unique(np.concatenate([both, x])) for x in (own[:n], own[n:])]
-        pairs.append((k, *(jaccard.bins_of(x).tolist() for x in sets)))
-        true.append(len(np.intersect1d(*sets)) / len(np.union1d(*sets)))
-    df = spark.createDataFrame(pairs, "k int, a array<long>, b array<long>")
-    got = [r["e"] for r in df.select("k", jaccard._estimate("a", "b").alias("e")).orderBy("k").collect()]
-    assert np.allclose(true, 0.8, atol=1e-3) and min(got) > 0.7 and abs(np.mean(got) - 0.8) < 0.01
+    sides = [[np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(n)] for n in (9, 6)]
+    sides[0].append(np.array([1000]))
+    rows = [np.repeat(np.arange(len(x)), list(map(len, x))) for x in sides]
+    got = jaccard.overlaps(rows, [np.concatenate(x) for x in sides], (10, 6))
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+    zero = np.zeros(3, int)
+    assert jaccard.overlaps((zero, zero), (np.arange(3), np.arange(5, 8)), (1, 1)).tolist() == [[0.0]]
 
 
 def test_golay_keys_meet():
