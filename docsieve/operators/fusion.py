@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import numbered
+
 
 def fusion_weights(types: dict[str, float] | None = None, bm25: float = 0.3, vector: float = 0.7) -> tuple[float, float]:
     """Weights moved by a query's class probabilities: factual favours BM25, conceptual the vectors; they sum to 1."""
@@ -18,7 +20,7 @@ def hybrid_fusion(vector: DataFrame, bm25: DataFrame, weights: tuple[float, floa
     """``id, vector_score, bm25_score, score`` of lists (id, score); a missing side counts 0. Scores are raw, or with
     ``normalise`` divided by their list's largest."""
     if normalise:
-        vector, bm25 = (x.withColumn("score", F.try_divide("score", F.max("score").over(Window.partitionBy(F.lit(0))))) for x in (vector, bm25))
+        vector, bm25 = (x.crossJoin(F.broadcast(x.agg(F.max("score").alias("_top")))).select("id", F.try_divide("score", "_top").alias("score")) for x in (vector, bm25))
     v, b = vector.select("id", F.col("score").alias("vector_score")), bm25.select("id", F.col("score").alias("bm25_score"))
     j = v.join(b, "id", "full_outer").fillna(0.0, ["vector_score", "bm25_score"])
     j = j.withColumn("score", weights[0] * F.col("bm25_score") + weights[1] * F.col("vector_score")).filter(F.col("score") >= min_score)
@@ -73,16 +75,23 @@ def with_neighbours(seeds: DataFrame, chunks: DataFrame, most: int = 2, gap: int
     return rows.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``rank`` from 1 in an order, by ranges: no task holds all rows."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    keyed = rows.select("*", *order)
+    return numbered(keyed, keys, 1, "rank").withColumn("rank", F.col("rank").cast("int")).drop(*keys)
+
+
 def round_robin(rows: DataFrame, section: str = "section", score: str = "score") -> DataFrame:
     """Adds ``rank``: the best of every section in order of the sections' first rows, then the second best, and so on."""
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(section).orderBy(F.desc(score), "pos")))
-    rows = rows.withColumn("_f", F.min("pos").over(Window.partitionBy(section)))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("_r", "_f"))).drop("_r", "_f")
+    first = rows.groupBy(section).agg(F.min("pos").alias("_f"))
+    return ranked(rows.join(first, section), F.col("_r").alias("_k0"), F.col("_f").alias("_k1")).drop("_r", "_f")
 
 
 def first_per_section(rows: DataFrame, section: str = "section", score: str = "score") -> DataFrame:
     """Adds ``rank``: each section's first row in order, then the rest by score."""
-    lead = F.row_number().over(Window.partitionBy(section).orderBy("pos")) == 1
-    rows = rows.withColumn("_l", lead)
-    order = (F.desc("_l"), F.when(F.col("_l"), F.col("pos")), F.desc(score), F.col("pos"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_l")
+    first = rows.groupBy(section).agg(F.min("pos").alias("_f"))
+    rows = rows.join(first, section).withColumn("_l", F.col("pos") == F.col("_f"))
+    lead = F.when(F.col("_l"), F.col("pos"))
+    return ranked(rows, (~F.col("_l")).alias("_k0"), lead.alias("_k1"), (-F.col(score)).alias("_k2"), F.col("pos").alias("_k3")).drop("_l", "_f")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 #: Reference patterns with the group that is kept.
 PATTERNS = {
     "url": (r"""https?://[^\s<>"]+|www\.[^\s<>"]+""", 0),
@@ -59,28 +61,31 @@ def build_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def levels(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """``root, id, level``: nodes within ``depth`` undirected steps of each root of ``start(root)``."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    both = stored(both, "links")  # computed once, not once a step
     reached = start.select("root", F.col("root").alias("id"), F.lit(0).alias("level"))
     front = reached
     for step in range(1, depth + 1):
         nxt = front.join(both, front.id == both.a).select("root", F.col("b").alias("id")).distinct()
-        front = nxt.join(reached, ["root", "id"], "left_anti").withColumn("level", F.lit(step))
+        front = stored(nxt.join(reached, ["root", "id"], "left_anti").withColumn("level", F.lit(step)), "front")
         reached = reached.unionByName(front)
     return reached
 
 
 def related(edges: DataFrame, start: DataFrame, depth: int = 2, types: Sequence[str] | None = None) -> DataFrame:
-    """Nodes near each root by distance, then id; with ``types`` only edges of these count."""
+    """Nodes near each root with their distance, in no order; with ``types`` only edges of these count."""
     if types is not None:
         edges = edges.filter(F.col("type").isin(list(types)))
     return levels(edges, start, depth).filter("level > 0").select("root", "id", F.col("level").alias("distance"))
 
 
 def path_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """``root, id, src, dst, type``: for each reached node an edge, in its true direction, to a node one level nearer."""
-    a = reached.select("root", F.col("id").alias("_near"), (F.col("level") + 1).alias("level"))
-    step = reached.filter("level > 0").join(a, ["root", "level"])
+    """``root, id, src, dst, type``: for each reached node (root, id, level) an edge, in its true direction, to a node one
+    level nearer: of several, the one to the smallest such node, then the smallest ends and type."""
     e = edges.select("src", "dst", "type")
-    hit = step.join(e, ((e.src == F.col("id")) & (e.dst == F.col("_near"))) | ((e.dst == F.col("id")) & (e.src == F.col("_near"))))
+    step = reached.filter("level > 0")
+    ends = step.join(e, F.col("id") == F.col("src")).withColumn("_near", F.col("dst")).unionByName(step.join(e, F.col("id") == F.col("dst")).withColumn("_near", F.col("src")))
+    near = reached.select("root", F.col("id").alias("_near"), (F.col("level") + 1).alias("level"))
+    hit = ends.join(near, ["root", "_near", "level"])
     return hit.groupBy("root", "id").agg(F.min(F.struct("_near", "src", "dst", "type")).alias("e")).select("root", "id", "e.src", "e.dst", "e.type")
 
 
@@ -104,3 +109,18 @@ def citation_graph(edges: DataFrame, start: DataFrame, radius: int = 2) -> tuple
 
 def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("reference_count"), F.array_sort(F.collect_list("type")).alias("reference_types"))
+
+
+def serialised(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph as lines of JSON, ``kind, line``: a node (id, title, type, metadata) or an edge (source, target, type) each,
+    so that a graph of any size can be written and read in parts."""
+    node = F.struct("id", "title", "type", "metadata")
+    edge = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type")
+    return nodes.select(F.lit("node").alias("kind"), F.to_json(node).alias("line")).unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(edge).alias("line")))
+
+
+def deserialised(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges back from ``kind, line``."""
+    read = lambda kind, schema: lines.filter(F.col("kind") == kind).select(F.from_json("line", schema).alias("x")).select("x.*")
+    edges = read("edge", "source long, target long, type string")
+    return read("node", "id long, title string, type string, metadata map<string,string>"), edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "type")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Alert rules as (name, severity, threshold, evaluations a breach must last, in windows of five minutes).
+#: Alert rules as (severity, threshold, windows of five minutes that a breach must last).
 ALERTS = {
     "HighErrorRate": ("critical", 0.05, 1),
     "HighResponseLatency": ("warning", 2.0, 1),
@@ -77,6 +77,22 @@ def breaches(windows: DataFrame, value: str, name: str, by: Sequence[str] = (),
     return hit.select("window_start", *by, F.lit(name).alias("alertname"), F.lit(severity).alias("severity"), value)
 
 
+def firing(windows: DataFrame, measures: dict[str, Column], length_s: int = 300) -> DataFrame:
+    """``alertname, severity, start, end, windows``: for every rule of ``measures`` (its value in a window) the stretches of
+    consecutive windows above its threshold that last as long as the rule wants."""
+    rules = F.array(*(F.struct(F.lit(n).alias("alertname"), F.lit(ALERTS[n][0]).alias("severity"), F.lit(ALERTS[n][1]).alias("limit"), F.lit(ALERTS[n][2]).alias("lasts"), v.cast("double").alias("v")) for n, v in measures.items()))
+    hit = windows.select("window_start", F.inline(rules)).filter(F.col("v") > F.col("limit"))
+    return lasting(hit, ["alertname", "severity", "lasts"], length_s, 1).filter(F.col("windows") >= F.col("lasts")).drop("lasts")
+
+
+def durations(records: DataFrame) -> DataFrame:
+    """``trace_id, started, seconds`` from start and end records (trace_id, phase, ts): a trace is one group, combined
+    before the shuffle; seconds are null while there is no end."""
+    at = lambda phase, f: f(F.when(F.col("phase") == phase, F.col("ts")))
+    g = records.groupBy("trace_id").agg(at("start", F.min).alias("started"), at("end", F.max).alias("ended"))
+    return g.select("trace_id", "started", ((F.unix_micros("ended") - F.unix_micros("started")) / 1e6).alias("seconds"))
+
+
 def lasting(found: DataFrame, by: Sequence[str], length_s: int = 300, least: int = 2) -> DataFrame:
     """Islands of at least ``least`` consecutive breaching windows: start, end, number."""
     t = F.unix_timestamp("window_start")
@@ -94,9 +110,16 @@ def inhibited(alerts: DataFrame, equal: Sequence[str] = ("alertname", "cluster",
 
 
 def over_limit(requests: DataFrame, by: str, most: int = 100, seconds: int = 3600, ts: str = "ts") -> DataFrame:
-    """Requests beyond ``most`` of one key in the last ``seconds``, themselves counted."""
-    w = Window.partitionBy(by).orderBy(F.unix_timestamp(ts)).rangeBetween(-seconds + 1, 0)
-    return requests.withColumn("in_window", F.count("*").over(w)).filter(F.col("in_window") > most)
+    """Requests beyond ``most`` of one key in the last ``seconds``, themselves counted.
+
+    Time is cut into buckets of ``seconds`` and each row is also sent to the next bucket, so a task holds two buckets of a
+    key and not all of its history."""
+    at = F.unix_timestamp(ts)
+    bucket = F.floor(at / seconds)
+    rows = requests.withColumn("_at", at).withColumn("_b", F.explode(F.array(bucket, bucket + 1)))
+    w = Window.partitionBy(by, "_b").orderBy("_at").rangeBetween(-seconds + 1, 0)
+    counted = rows.withColumn("in_window", F.count("*").over(w)).filter(F.col("_b") == F.floor(F.col("_at") / seconds))
+    return counted.filter(F.col("in_window") > most).drop("_at", "_b")
 
 
 def sessions(events: DataFrame, by: str, gap: str = "30 minutes", ts: str = "ts") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.storage import stored
 
 #: Extensions that may be uploaded, and the largest size.
 ALLOWED_EXTENSIONS = ("txt", "pdf", "doc", "docx", "csv", "xls", "xlsx", "json", "md", "rst")
@@ -46,9 +47,11 @@ def upload_checked(rows: DataFrame) -> DataFrame:
 
 
 def numbered(new: DataFrame, order: Sequence[str], first: int, id_col: str = "id") -> DataFrame:
-    """Ids from ``first`` in the order given, without a single-task window: range partitions, counted, then offset."""
+    """Ids from ``first`` without gaps in the order given, without a single-task window. The ranges are written once with
+    their numbers; counts and rows are both read from that table, so they can't differ."""
     ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     ranged = ranged.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    ranged = stored(ranged, "numbered")
     sizes = ranged.groupBy("_p").count()
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     sizes = sizes.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -126,6 +129,17 @@ def answer_rows(question: DataFrame, sources: DataFrame) -> DataFrame:
     return user.unionByName(bot)
 
 
+def created_sessions(sessions: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """Sessions (id, created_at, updated_at) with a row for each id of ``wanted(id)`` that has none yet."""
+    new = wanted.select("id").distinct().join(sessions, "id", "left_anti")
+    return sessions.select("id", "created_at", "updated_at").unionByName(new.select("id", now.alias("created_at"), now.alias("updated_at")))
+
+
+def deleted_sessions(sessions: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the sessions of ``ids(id)`` and their messages."""
+    return cascade_delete(sessions, messages, ids, "session_id")
+
+
 # Caches are tables (key, value, inserted_at, ttl seconds); the first live write of a key wins.
 
 
@@ -134,6 +148,14 @@ def cache_key(namespace: str, *parts: Column) -> Column:
     return F.concat(F.lit(namespace + ":"), F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))), 256))
 
 
+def cache_written(cache: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """The cache with the rows of ``new(key, value, ttl)`` whose keys have no live value; of several rows of one key the
+    one with the smallest value."""
+    one = new.groupBy("key").agg(F.min(F.struct("value", "ttl")).alias("w")).select("key", "w.value", "w.ttl")
+    fresh = one.join(cache_live(cache, now).select("key"), "key", "left_anti").withColumn("inserted_at", now)
+    return cache.select("key", "value", "inserted_at", "ttl").unionByName(fresh.select("key", "value", "inserted_at", "ttl"))
+
+
 def cache_live(cache: DataFrame, as_of: Column) -> DataFrame:
     """The value each key has at a time: of its unexpired writes, the earliest."""
     alive = cache.filter((F.col("inserted_at") <= as_of) & (F.unix_timestamp("inserted_at") + F.col("ttl") > F.unix_timestamp(as_of)))

@@ -77,7 +77,7 @@ def query_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def format_answer(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("As an AI I'm sure:\n\n\n\n- one\n* two\n\nMore\n\nThen\n\n"), F.substring("text", 1, 80))
+    raw = F.concat(F.lit("As an AI I'm sure:\n\n\n\n- one\n* two\n\nMore\n\nThen\n\n"), F.coalesce("text", F.lit("")))
     return table(spark, d, "documents").select("doc_id", T.format_answer(raw).alias("answer"))
 
 
@@ -136,6 +136,13 @@ f AS (SELECT doc_id, list_reduce(s, lambda a, x: CASE WHEN a.n + length(x.now[1]
 c AS (SELECT doc_id, CASE WHEN len(a.now) > 0 THEN list_append(a.chunks, array_to_string(a.now, ' ')) ELSE a.chunks END AS c FROM f),
 e AS (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS i FROM c)
 SELECT doc_id, i::INTEGER AS chunk_index, length(chunk)::INTEGER AS chars, sha256(chunk) AS digest FROM e WHERE trim(chunk) <> ''""",
+    "chunk_paragraphs": r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n', E'\n\n', 'g'), E'\n\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
+s AS (SELECT doc_id, list_transform(p, lambda x: {'chunks': []::VARCHAR[], 'now': [x], 'n': len(regexp_extract_all(x, '[\pL\pN\pM\p{Pc}]+|[^\pL\pN\pM\p{Pc}\s]'))}) AS s FROM p WHERE len(p) > 0),
+f AS (SELECT doc_id, list_reduce(s, lambda a, x: CASE WHEN a.n + x.n <= 60 THEN {'chunks': a.chunks, 'now': list_concat(a.now, x.now), 'n': a.n + x.n}
+  ELSE {'chunks': list_append(a.chunks, array_to_string(a.now, E'\n\n')), 'now': list_concat(a.now[-2:], x.now),
+    'n': len(regexp_extract_all(array_to_string(a.now[-2:], E'\n\n'), '[\pL\pN\pM\p{Pc}]+|[^\pL\pN\pM\p{Pc}\s]')) + x.n} END) AS a FROM s),
+c AS (SELECT doc_id, list_append(a.chunks, array_to_string(a.now, E'\n\n')) AS c FROM f), e AS (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS i FROM c)
+SELECT doc_id, i::INTEGER AS chunk_index, length(chunk)::INTEGER AS chars, sha256(chunk) AS digest FROM e""",
     "chunk_params": """WITH k AS (SELECT doc_id, (['text/plain','application/pdf','technical','message/email'])[doc_id % 4 + 1] AS k, n_chars * 100 AS n FROM documents)
 SELECT doc_id, CASE WHEN k LIKE '%email%' OR n < 50000 THEN 300 WHEN k LIKE '%pdf%' THEN 500 WHEN k LIKE '%technical%' OR n > 1000000 THEN 800 ELSE 500 END AS size,
 CASE WHEN k LIKE '%email%' OR n < 50000 THEN 50 WHEN k LIKE '%pdf%' THEN 100 WHEN k LIKE '%technical%' OR n > 1000000 THEN 150 ELSE 100 END AS overlap FROM k""",
@@ -149,7 +156,7 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""",
     "query_classify": f"""WITH {_Q}, v AS (SELECT *, {_V['factual']} AS f, {_V['analytical']} AS a, {_V['summary']} AS s FROM q)
 SELECT item_id, CASE WHEN f >= a AND f >= s THEN 'factual' WHEN a >= s THEN 'analytical' ELSE 'summary' END AS query_class,
 regexp_matches(q, '(?i){'|'.join(T.DIVERSITY)}') AS diverse, CASE {' '.join('WHEN ' + ' OR '.join(f"contains(lower(q), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in T.PROMPTS.items())} ELSE 'default' END AS prompt FROM v""",
-    "format_answer": r"""WITH r AS (SELECT doc_id, E'As an AI I''m sure:\n\n\n\n- one\n* two\n\nMore\n\nThen\n\n' || substring(text, 1, 80) AS r FROM documents),
+    "format_answer": r"""WITH r AS (SELECT doc_id, E'As an AI I''m sure:\n\n\n\n- one\n* two\n\nMore\n\nThen\n\n' || coalesce(text, '') AS r FROM documents),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(r, '(?i)\b(I am|I''m|as an AI|as an assistant)\b', '', 'g'), '\n{3,}', E'\n\n', 'g'), '(?m)^[-*]\s', '• ', 'g') AS c FROM r)
 SELECT doc_id, regexp_replace(CASE WHEN len(string_split(c, E'\n\n')) > 3 THEN regexp_replace(c, '\n\n([A-Z])', E'\n\n---\n\n' || '\1', 'g') ELSE c END, '^\s+|\s+$', '', 'g') AS answer FROM c""",
     "format_size": """WITH n AS (SELECT doc_id, n_chars * pow(1024.0, doc_id % 5) AS n FROM documents)

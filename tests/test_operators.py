@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import text as T
 from docsieve.functions import vector as V
-from docsieve.operators import context, dedup, fusion, graph, ivf, lexical, metrics, providers, search, store
+from docsieve.operators import context, dedup, expansion, fusion, graph, ivf, lexical, metrics, providers, search, store
 from docsieve.plans import pipelines
 from docsieve.sources import ingest
 
@@ -201,6 +201,15 @@ def test_code(spark):
     assert r[1]["s"]["functions"][0]["name"] == "q" and r[2]["s"]["error"]
     assert one(spark, T.cyclomatic(F.lit("if x&&y && z || for"))) == 4
     assert one(spark, ingest.code_body(F.lit("class A { int x; } class B {}"), "class", "A")) == "class A { int x; }"
+    nested = "x; function f(a) { if (a) { g(); } return {}; } const h = (b) => { y; }"
+    assert one(spark, ingest.code_body(F.lit(nested), "function", "f")) == "function f(a) { if (a) { g(); } return {}; }"
+    assert one(spark, ingest.code_body(F.lit(nested), "function", "h")) == "const h = (b) => { y; }"
+    assert one(spark, ingest.code_body(F.lit("class A {"), "class", "A")) is None and one(spark, ingest.code_body(F.lit(nested), "function", "z")) is None
+    py = "import os\nclass A:\n    def m(self):\n        return 1\n\ndef f():\n    pass\n"
+    got = [(c["kind"], c["name"], c["lineno"], c["code"].count("\n")) for c in one(spark, ingest.code_chunks(F.lit(py), F.lit("Python")))]
+    assert got == [("class", "A", 2, 2), ("function", "m", 3, 1), ("function", "f", 6, 1)]
+    got = one(spark, ingest.code_chunks(F.lit("class A extends B {\n}\nfunction f() {\n}"), F.lit("JavaScript")))
+    assert [(c["kind"], c["name"], c["code"]) for c in got] == [("class", "A", "class A extends B {\n}"), ("function", "f", "function f() {\n}")]
 
 
 def test_ocr_merge(spark):
@@ -256,3 +265,44 @@ def test_stream_first_writes(spark, tmp_path):
     stream = rates.first_writes(rates.event_stream(spark, str(tmp_path / "in")), "key")
     rates.to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize("parts", [8, 200])
+@pytest.mark.parametrize("wide", [False, True])
+def test_numbering_loses_nothing(spark, parts, wide):
+    """Every row gets one id, ids have no gaps and follow the order, with and without wide columns."""
+    rows = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("k"), (F.repeat(F.lit("x"), 200) if wide else F.lit(1)).alias("x"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = store.numbered(rows.repartition(16), ["k"], 5)
+        want = rows.select("k").rdd.map(lambda r: r[0]).collect()
+        found = [(r["id"], r["k"]) for r in got.select("id", "k", "x").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(found) == list(enumerate(sorted(want), 5))
+
+
+def test_read_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("  plain text\n")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "c.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "d.docx").write_bytes(b"no zip")
+    said = {r["filename"][-5:]: (r["content"], r["error"]) for r in ingest.read_documents(spark, str(tmp_path)).collect()}
+    assert said["a.txt"] == ("plain text", None) and said["b.pdf"] == (None, "no provider for PDF files")
+    assert said["c.bin"] == (None, "unsupported suffix: .bin") and said[".docx"][0] is None and said[".docx"][1]
+    read = ingest.read_documents(spark, str(tmp_path), lambda c: F.lit("from a reader"))
+    assert {r["filename"][-5:]: r["content"] for r in read.collect()}["b.pdf"] == "from a reader"
+
+
+def test_semantic_terms(spark):
+    """Threshold, cut, ties, own terms left out, domain terms for a query without context."""
+    embed = lambda c: F.when(c == "q", F.array(F.lit(1.0), F.lit(0.0))).when(c == "near", F.array(F.lit(0.9), F.lit(0.1))).when(c == "far", F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(1.0)))
+    q = spark.createDataFrame([(1, "q", ["own"]), (2, "q", ["database"])], "qid long, q string, terms array<string>")
+    context = spark.createDataFrame([(1, "near far own side")], "qid long, content string")
+    of = expansion.candidates(q, context, lambda c: F.split(c, " "))
+    assert {r["term"] for r in of.filter("qid = 1").collect()} == {"near", "far", "side"}
+    assert of.filter("qid = 2").count() == len(expansion.DOMAIN_TERMS) - 1
+    got = expansion.semantic_terms(q, of, embed, 0.7, 3)
+    assert [(r["term"], r["rank"]) for r in got.filter("qid = 1").orderBy("rank").collect()] == [("near", 1), ("side", 2)]
+    assert [r["term"] for r in got.filter("qid = 2").orderBy("rank").collect()] == sorted(t for t in expansion.DOMAIN_TERMS if t != "database")[:3]
