@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, released, shared_dir, spread, stored, table
 
-__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "released", "sampled", "shared_dir", "spread", "stored", "table"]
+__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "released", "sampled", "shared_dir", "spread", "stored", "table", "trim"]
 
 #: ASCII white space; words are the runs between these characters. ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside those of other steps."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
     """The ``most`` rows of the smallest hashes of ``key``, or all if there are no more: the same at every partitioning.
     The rows are counted first, so that what is sorted and moved has a bound whatever the table's size."""

@@ -15,7 +15,8 @@ is left of a key is dealt to blocks of members; a task has two blocks, takes all
 and gives out at most one link a member: pairs are never rows.
 
 Words: A-Z lower-cased, runs of ``[^\x20\x09-\x0D]``; a text of fewer than five is one shingle, null and empty texts
-are equal. Sets are those of 64-bit shingle hashes. Repeated rows stay in the result; an empty table gives no rows; other
+are equal. Sets are those of 64-bit shingle hashes; the sets that are sent to be compared have 32 bits of these, by which two
+shingles are taken for one in four billion times. Repeated rows stay in the result; an empty table gives no rows; other
 columns may have any name.
 """
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, map_texts, released, stored
+from .common import dropped, joined, map_texts, released, stored, trim
 from .components import components
 from .simhash import grouped, links, text_hash
 
@@ -95,11 +96,11 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
 
         def f(fps: list, texts: list) -> list:
             new = [k for k, fp in enumerate(fps) if not (fp in seen or seen.add(fp))]
-            return [[fps[k] for k in new], [shingles(texts[k], width).view(np.int64) for k in new]]
+            return [[fps[k] for k in new], [np.unique(shingles(texts[k], width).astype(np.uint32)).view(np.int32) for k in new]]
 
         return f
 
-    return map_texts(df, "fp", "text", "fp long, grams array<long>", work)
+    return map_texts(df, "fp", "text", "fp long, grams array<int>", work)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -153,6 +154,7 @@ def _compared(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 break
         node, root = np.concatenate([x, y]), np.concatenate([a, b])
         linked = np.nonzero(root != np.arange(len(node)))[0]
+        trim()
         return pa.table({"u": node[linked], "v": node[root[linked]]})
 
     return compare
@@ -177,7 +179,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     same = joined(each.select("code", "fp"), codes, "code", "sets", total).filter("fp <> c").select(F.col("c").alias("u"), F.col("fp").alias("v"))
 
     sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n")).alias("c")).filter("many > 1"), "sizes")
-    met = stored(joined(keyed, sizes, "key", "many", total * BANDS), "met")
+    met = stored(joined(keyed, sizes.withColumn("members", F.col("many")), "key", "many", total * BANDS), "met")
     dropped(keyed)
 
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-6  # noqa: E731, sizes that allow for it
@@ -197,14 +199,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     verified = stored(_verified(stars, sets, least), "links")
     released(df.sparkSession)
     found = stored(components(verified), "groups")
-    now = met.join(found, met.fp == found.node, "left").select("key", "fp", F.col("c.fp").alias("c"), F.coalesce("root", "fp").alias("root"))
-    now = stored(now, "grouped")
+    others = met.filter("members > 2 and fp <> c.fp").select("key", "fp")  # the smallest one has been compared with all
+    now = stored(others.join(found, others.fp == found.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "grouped")
     dropped(met)
     groups = now.groupBy("key", "root").agg(F.count("*").alias("many"))
     mixed = groups.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("k"), F.sum("many").alias("many")).filter("k > 1")
-    others = (F.col("many") - F.col("main.many")).alias("others")
-    mixed = stored(mixed.select("key", "many", F.col("main.root").alias("main"), *(F.ceil(c / PART).cast("int").alias(n) for c, n in ((others, "xs"), (F.col("many"), "ys")))), "mixed")
-    left = joined(now, mixed, "key", "many", total * BANDS).filter("fp <> c").withColumn("block", F.xxhash64("fp"))
+    outside = F.col("many") - F.col("main.many")
+    mixed = stored(mixed.select("key", "many", F.col("main.root").alias("main"), *(F.ceil(c / PART).cast("int").alias(n) for c, n in ((outside, "xs"), (F.col("many"), "ys")))), "mixed")
+    left = joined(now, mixed, "key", "many", total * BANDS).withColumn("block", F.xxhash64("fp"))
     left = stored(left.join(sets, "fp").select("key", "fp", "root", "grams", "block", "main", "xs", "ys"), "left")
     released(df.sparkSession)
     x = left.filter("root <> main").select("key", F.pmod("block", "xs").alias("p"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("q"), "fp", "root", "grams")

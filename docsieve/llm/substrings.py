@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import released, spread, stored
+from .common import released, spread, stored, trim
 
 #: Counters of a block (as a power of two), windows of a slice, and windows of a bucket, about.
-BLOCK_BITS, SLICE, BUCKET = 20, 1 << 20, 1 << 19
+BLOCK_BITS, SLICE, BUCKET = 20, 1 << 19, 1 << 19
 #: Characters of documents that are packed as one value, about: values of megabytes burden the JVM's heap.
 PIECE = 1 << 19
 
@@ -167,6 +167,7 @@ def _slices(docs: DataFrame, sizes: Sizes) -> DataFrame:
                 yield rows_of([(s, None, _packed(b.slice(begun)), None)])
         if n:
             yield from sketch(s, held)
+        trim()
 
     return docs.mapInArrow(run, _SLICED)
 
@@ -242,6 +243,7 @@ def _asked(docs: DataFrame, added: DataFrame, sizes: Sizes) -> DataFrame:
             for k, a, z in x.buckets(sizes)
         ]
         cols = list(zip(*rows)) or [()] * 5
+        trim()
         return pa.table(dict(zip(("bucket", "s", "a", "b", "c"), (pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))))))
 
     return docs.groupBy("s").cogroup(added.groupBy("s")).applyInArrow(ask, _ASKED)
@@ -311,6 +313,8 @@ def substring_dedup(
             counts.append(n)
             gone.append(n - len(words.split()))
             kept.append(text if keep_layout and not gone[-1] else words.decode())
+        del x, texts, places
+        trim()
         return pa.table({"id": docs["id"], "carried": docs["carried"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     return docs.groupBy("s").cogroup(answers.groupBy("s")).applyInArrow(cut, schema)
