@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, released, shared_dir, spread, stored, table
 
-__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "released", "sampled", "shared_dir", "spread", "stored", "table", "trim"]
+__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "released", "sampled", "shared_dir", "small", "spread", "stored", "table", "trim"]
 
 #: ASCII white space; words are the runs between these characters. ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -40,6 +40,11 @@ def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return few.orderBy(*order).limit(most)
 
 
+def small(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """A stored table of narrow rows, to be sent to every task if it has at most ``most`` rows, else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def joined(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, most: int = 100_000, least: int = 64) -> DataFrame:
     """``rows`` joined with the stored table ``keyed``, one row a key, whose column ``size`` says how many of the ``total``
     rows have the key (it is left out of the result).
