@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,31 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, path: str | None = None, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
 
     ``checkpoint()`` would compute the plan twice (once to count, once to write); a table is written in one run. With
-    ``path``, the rows are added to the table that is there.
+    ``path``, the rows are added to the table that is there; with ``by``, each value of that column has its own folder.
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/docsieve/{label}-{uuid.uuid4().hex}"
-    df.write.mode("append").parquet(path)
+    df.write.mode("append").partitionBy(*([by] if by else [])).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
+def dropped(df: DataFrame, folder: str = "") -> None:
+    """Delete the files of a ``stored`` table, or of one folder in it, that nothing reads any more."""
     path = getattr(df, "stored_path", None)
     if path:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path + folder)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now. It does so when the driver collects garbage, which a large
     heap puts off for up to half an hour."""
+    gc.collect()  # what Python still holds of finished steps
+    time.sleep(1)  # the scheduler lets go of a job a moment after its end
     spark._jvm.System.gc()
 
 
