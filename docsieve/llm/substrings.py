@@ -13,8 +13,8 @@ document with a smaller id is removed, judged on the input.
 3. With both answers a slice works out its documents' places and cuts the covered words.
 
 Both tables of counters are dealt by hash range and grow with the corpus (1.5 to 3 counters a word and row), so the filter
-passes the same share of windows at every size; nothing is broadcast, nothing is collected. Windows are told apart by 128
-bits, two independent sums over 64-bit word hashes: among 10^13 windows a false match is a matter of 10^-13.
+passes the same share of windows at every size; nothing is broadcast, nothing is collected. Windows are told apart by 96
+bits of two independent sums over 64-bit word hashes: among 10^13 windows a false match is a matter of 10^-3.
 
 Words: runs of ``[^\x20\x09-\x0D]``. A null text has no words. A null id removes nothing and loses nothing. Repeated rows
 of one id don't remove each other. An empty table gives no rows. A text of any length is judged whole, in one slice;
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import released, spread, stored, trim
+from .common import dropped, released, spread, stored, trim
 
 #: Counters of a block (as a power of two), windows of a slice, and windows of a bucket, about.
 BLOCK_BITS, SLICE, BUCKET = 20, 1 << 19, 1 << 19
@@ -205,9 +205,9 @@ class Slice:
             said = [np.unpackbits(np.frombuffer(mine[int(block[a])], np.uint8), count=z - a) for a, z in _runs(block)]
             keep &= np.concatenate([np.zeros(0, np.uint8), *said]).astype(bool)[back]
         one, two, at, doc = one[keep], two[keep], at[keep], doc[keep]
-        order = np.lexsort((two, one))
+        order = np.lexsort((two >> np.uint64(32), one))
         self.at, self.doc = at[order], doc[order]
-        one, two = one[order], two[order]
+        one, two = one[order], two[order] >> np.uint64(32)
         self.starts = np.nonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))[0] if len(one) else np.zeros(0, np.int64)
         self.one, self.two = one[self.starts], two[self.starts]
         self.keys = np.array([-1 if k is None else k for k in ids], np.int64)[self.doc] if len(one) else np.zeros(0, np.int64)
@@ -290,9 +290,11 @@ def substring_dedup(
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     sizes = Sizes((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6, width)  # about the words
     schema = StructType([*docs.select("id", "carried").schema.fields]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-    sliced = stored(_slices(spread(docs), sizes), "slices")
-    docs = sliced.filter("part is null").select("s", "data")
-    added = stored(_added(sliced.filter("part is not null"), sizes), "added")
+    kind = F.when(F.col("part").isNull(), "docs").otherwise("sketch").alias("kind")
+    sliced = stored(_slices(spread(docs), sizes).select("*", kind), "slices", by="kind")
+    docs = sliced.filter("kind = 'docs'").select("s", "data")
+    added = stored(_added(sliced.filter("kind = 'sketch'").drop("kind"), sizes), "added")
+    dropped(sliced, "/kind=sketch")
     released(df.sparkSession)
     asked = _asked(docs, added, sizes)
     answered = asked.groupBy("bucket").applyInPandas(_answered, "s long, part long, bits binary")

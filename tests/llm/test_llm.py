@@ -588,7 +588,7 @@ def test_the_prefilter_passes_a_bounded_share(spark, monkeypatch, n):
     sizes = substrings.Sizes(300 * n, 13)
     sliced = substrings._slices(df, sizes).cache()
     added = substrings._added(sliced.filter("part is not null"), sizes)
-    asked = substrings._asked(sliced.filter("part is null"), added, sizes).select(F.sum((F.octet_length("b") - 9) / 8)).first()[0]
+    asked = substrings._asked(sliced.filter("part is null"), added, sizes).select(F.sum((F.octet_length("b") - 9) / 4)).first()[0]
     assert 0 < asked / (288 * n) < 0.3
 
 
