@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but the last return the columns of
 ``docs``. ``run`` writes every stage as Parquet in the shared folder and reads it again as the next one's docs.
+
+Odd cases, in every stage: an empty table gives an empty one; other columns may have any name and are carried along;
+texts of any length are read whole; a row with a null id is a document like any other, but takes nothing from others in
+the substring stage and loses nothing there. Null and empty texts go in the first stage. Rows that repeat are one
+document from the second stage on. Ties (equal similarity, equal length) change no text, only which sequence it is in.
 """
 
 from __future__ import annotations
