@@ -88,6 +88,38 @@ def distance_search(chunks: DataFrame, query: Sequence[float], query_type: str =
     return found.drop("embedding").orderBy("distance", "id").limit(int(k * times))
 
 
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.5, block: int = 4096) -> DataFrame:
+    """``qid, id, similarity``: the best k of each of many queries (qid, v) in one pass over the chunks (id, embedding).
+
+    Queries are read in blocks of about ``block`` and sent to every task, so what is sent has a bound; a task scores a batch
+    of chunks against the block as one product and keeps k a query."""
+    n = queries.count()
+    parts, found = max(1, -(-n // block)), None
+    for part in range(parts):
+        mine = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).select("qid", V.doubles(F.col("v")).alias("v")).toPandas()
+        if not len(mine):
+            continue
+        q = np.stack(mine["v"].to_numpy())
+        qids, q = mine["qid"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+        def score(batches, qids=qids, q=q):  # noqa: ANN001, ANN202
+            for pdf in batches:
+                pdf = pdf.sort_values("id")
+                m = np.stack(pdf["v"].to_numpy())
+                sim, ids = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T, pdf["id"].to_numpy()
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(sim, best, 1)
+                keep = value > threshold
+                yield pd.DataFrame({"qid": np.repeat(qids, keep.sum(1)), "id": ids[best[keep]], "similarity": value[keep]})
+
+        rows = chunks.filter(F.col("embedding").isNotNull()).select("id", V.doubles(F.col("embedding")).alias("v")).mapInPandas(score, "qid long, id long, similarity double")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], "qid long, id long, similarity double")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 9)), "id")
+    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+
+
 def mean_vectors(df: DataFrame, key: str, vector: str, weight: Column | None = None, normalise: bool = False) -> DataFrame:
     """Element-wise (weighted) mean of each key, combined before the shuffle; a zero mean is not normalised."""
     w = F.lit(1.0) if weight is None else weight

@@ -63,6 +63,13 @@ def vs_rerank(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.round("similarity", 6).alias("similarity"), F.round("combined_score", 6).alias("combined_score"))
 
 
+def vs_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as a query, in one pass."""
+    e = table(spark, d, "embeddings")
+    found = search.batch_search(e.select(F.col("vec_id").alias("id"), "embedding"), e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), 3, 0.2)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def vs_distance(spark: SparkSession, d: str) -> DataFrame:
     found = search.distance_search(chunks(spark, d), vector_of(spark, d, 1), "summary", k=5, threshold=0.99)
     return found.select("id", "document_id", F.round("distance", 6).alias("distance"))
@@ -147,13 +154,15 @@ o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS pos, coalesce(
 g AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS kept
   UNION ALL SELECT o.pos, CASE WHEN list_has_any(o.before, g.kept) THEN g.kept ELSE list_append(g.kept, o.id) END FROM g JOIN o ON o.pos = g.pos + 1)"""
 
-QUERIES = {f.__name__: f for f in (vs_topk, vs_filtered, vs_rerank, vs_distance, vs_null_audit, vs_self_distance, vs_adjacent_pairs, vs_udf_sql, emb_mean, emb_weighted_norm, dedup_exact, dedup_near_pairs, dedup_greedy, merge_similar)}
+QUERIES = {f.__name__: f for f in (vs_topk, vs_filtered, vs_rerank, vs_batch, vs_distance, vs_null_audit, vs_self_distance, vs_adjacent_pairs, vs_udf_sql, emb_mean, emb_weighted_norm, dedup_exact, dedup_near_pairs, dedup_greedy, merge_similar)}
 ORACLE = {
     "vs_topk": f"WITH {CHUNKS} SELECT id, document_id, round(s, 6) AS similarity, round(cs, 6) AS combined_score FROM scored WHERE s > 0.1 ORDER BY s DESC, id LIMIT 10",
     "vs_filtered": f"""WITH {CHUNKS} SELECT id, document_id, content_type, round(s, 6) AS similarity FROM scored WHERE s > 0 AND document_id BETWEEN 1 AND 8
 AND content_type IN ({', '.join(f"'src{i}'" for i in range(15))}) AND created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-09' AND kind = 'k1' ORDER BY s DESC, id LIMIT 20""",
     "vs_rerank": f"""WITH {CHUNKS}, f AS (SELECT * FROM scored WHERE s > 0 ORDER BY s DESC, id LIMIT 10)
 SELECT id, round(s, 6) AS similarity, round(cs, 6) AS combined_score FROM f ORDER BY cs DESC, id LIMIT 5""",
+    "vs_batch": """WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings c)
+SELECT qid, id, round(s, 6) AS similarity FROM s WHERE s > 0.2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) <= 3""",
     "vs_distance": f"WITH {CHUNKS} SELECT id, document_id, round(1 - list_cosine_similarity(e, qe), 6) AS distance FROM chunks, q WHERE 1 - list_cosine_similarity(e, qe) < 0.99 * 0.9 ORDER BY 1 - list_cosine_similarity(e, qe), id LIMIT 7",
     "vs_null_audit": "SELECT label, count(*) AS total, count(*) FILTER (vec_id % 7 <> 0) AS embedded, count(*) FILTER (vec_id % 7 = 0) AS missing FROM embeddings GROUP BY label",
     "vs_self_distance": "SELECT vec_id, len(embedding)::INTEGER AS dims, round(abs(1 - list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS self_distance FROM embeddings ORDER BY vec_id LIMIT 5",
