@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, released, shared_dir, spread, stored, table
 
-__all__ = ["LOWER", "SPACES", "UPPER", "dropped", "joined", "map_texts", "released", "sampled", "shared_dir", "small", "spread", "stored", "table", "trim"]
+__all__ = ["LOWER", "SPACES", "UPPER", "among", "dropped", "joined", "map_texts", "released", "sampled", "shared_dir", "spread", "stored", "table", "trim"]
 
 #: ASCII white space; words are the runs between these characters. ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -40,9 +40,22 @@ def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return few.orderBy(*order).limit(most)
 
 
-def small(table: DataFrame, most: int = 500_000) -> DataFrame:
-    """A stored table of narrow rows, to be sent to every task if it has at most ``most`` rows, else left to a shuffle."""
-    return F.broadcast(table) if table.count() <= most else table
+def among(rows: DataFrame, keys: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """Of ``rows`` those whose columns may be a row of the stored table ``keys`` (columns of the same names): a Bloom filter
+    ahead of a shuffle of wide rows. None that is there is lost; the join that follows tells the others.
+
+    The filter has a word of 64 bits for every four keys, up to ``most`` words (about 100 MB on a task's machine), which go to
+    every task; a key sets four bits of one word. It passes about one in 100 of the other rows as long as the words suffice,
+    for 8 million keys, and more of them beyond that.
+    """
+    words = min(most, 1 << max(0, keys.count() // 4).bit_length())
+    h = F.xxhash64(*keys.columns)
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftright(_hash, {k}) & 63 as int))")
+    bits = bit(24).bitwiseOR(bit(32)).bitwiseOR(bit(40)).bitwiseOR(bit(48))
+    own = keys.select(h.alias("_hash")).select(F.pmod("_hash", F.lit(words)).alias("_word"), bits.alias("_bits"))
+    table = own.groupBy("_word").agg(F.bit_or("_bits").alias("_set"))
+    asked = rows.withColumn("_hash", h).withColumn("_word", F.pmod("_hash", F.lit(words))).withColumn("_bits", bits)
+    return asked.join(F.broadcast(table), "_word").filter("_set & _bits = _bits").drop("_hash", "_word", "_bits", "_set")
 
 
 def joined(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, most: int = 100_000, least: int = 64) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, map_texts, released, small, stored, trim
+from .common import among, dropped, joined, map_texts, released, stored, trim
 from .components import components
 from .simhash import grouped, links, text_hash
 
@@ -188,8 +188,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     asked = met.select("fp").unionByName(stars.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
     wanted = stored(each.join(asked, "fp").select("fp", "of.id", "of.th"), "wanted")
-    rows = df.select(F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"), F.col(text_col).alias("text"))
-    rows = rows.join(small(wanted), F.col("a").eqNullSafe(F.col("id")) & (F.col("b") == F.col("th"))).select("fp", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows = among(rows, wanted.select("id", "th")).alias("r")
+    here = F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.th") == F.col("w.th"))
+    rows = rows.join(wanted.alias("w").hint("merge"), here).select("fp", "text")
     sets = stored(_sets(rows, width), "sets")
     if sets.count() > wanted.count():  # repeated rows in several tasks
         more, sets = sets, stored(sets.dropDuplicates(["fp"]), "sets")

@@ -242,6 +242,19 @@ def test_near_duplicate_stage(spark, monkeypatch, part):
     assert rows_of(found, "id", "component_id") == sorted(((i, least[r]) for (i, _), r in zip(rows, root)), key=repr)
 
 
+@pytest.mark.parametrize("most", [1 << 21, 2])
+def test_filter_ahead_of_a_shuffle(spark, most):
+    """No key is lost, nulls and repeated rows included; few other rows pass while the words suffice; an empty list passes none."""
+    rows = spark.range(20000).selectExpr("if(id % 1000 = 7, null, id) as id", "id * 31 as th", "repeat('x', 5) as text").repartition(7)
+    keys = common.stored(rows.filter("th % 10 = 0 or id is null").select("id", "th"), "keys")
+    got = common.among(rows.unionAll(rows), keys, most)
+    assert got.columns == ["id", "th", "text"]
+    hit = "th % 10 = 0 or id is null"
+    assert got.filter(hit).count() == 2 * keys.count()
+    assert most == 2 or got.filter(f"not ({hit})").count() < 0.03 * 36000
+    assert common.among(rows, common.stored(keys.limit(0), "keys"), most).count() == 0
+
+
 def test_overlaps_of_blocks(monkeypatch):
     """Matrices of few columns; sets without a shingle or without a common one."""
     monkeypatch.setattr(jaccard, "COLUMNS", 7)
