@@ -13,7 +13,9 @@ document with a smaller id is removed, judged on the input.
 3. With both answers a slice works out its documents' places and cuts the covered words.
 
 Both tables of counters are dealt by hash range and grow with the corpus (1.5 to 3 counters a word and row), so the filter
-passes the same share of windows at every size; nothing is broadcast, nothing is collected. Windows are told apart by 96
+passes the same share of windows at every size; nothing is broadcast, nothing is collected. Blocks grow with the tables, to
+2^25 counters, and buckets are as few as the windows sent allow: a slice sends at most 512 sketches up to about 5.7 billion
+words. Beyond, and for buckets, what a slice sends comes in more and smaller rows as the corpus grows. Windows are told apart by 96
 bits of two independent sums over 64-bit word hashes: among 10^13 windows a false match is a matter of 10^-3.
 
 Words: runs of ``[^\x20\x09-\x0D]``. A null text has no words. A null id removes nothing and loses nothing. Repeated rows
@@ -38,10 +40,14 @@ from pyspark.sql.types import StructType
 
 from .common import dropped, released, spread, stored, trim
 
-#: Counters of a block (as a power of two), windows of a slice, and windows of a bucket, about.
-BLOCK_BITS, SLICE, BUCKET = 20, 1 << 19, 1 << 19
+#: Counters of a block (as a power of two), windows of a slice, and windows sent to a bucket, about.
+BLOCK_BITS, SLICE, BUCKET = 20, 1 << 19, 1 << 20
+#: A row has 2 ** BLOCKS blocks at most, whatever the corpus, until blocks have 2 ** MOST_BITS counters (a byte each).
+BLOCKS, MOST_BITS = 8, 25
 #: Characters of documents that are packed as one value, about: values of megabytes burden the JVM's heap.
 PIECE = 1 << 19
+#: Words hashed at once, about.
+GROUP = 1 << 15
 
 
 def _factors(width: int) -> np.ndarray:
@@ -71,22 +77,41 @@ class Sizes:
 
     def __init__(self, n: float, width: int):
         self.bits = max(8, math.ceil(math.log2(max(2.0, 1.5 * n))))
-        self.block = min(BLOCK_BITS, self.bits)
-        self.buckets = 1 << max(6, math.ceil(math.log2(max(1.0, n / BUCKET))))
+        self.block = min(self.bits, max(BLOCK_BITS, min(self.bits - BLOCKS, MOST_BITS)))
+        self.asked(n)
         self.factors = _factors(width)
 
+    def asked(self, windows: float) -> None:
+        """Take buckets for so many windows that slices ask about."""
+        self.buckets = 1 << max(6, math.ceil(math.log2(max(1.0, windows / BUCKET))))
+
     def cells(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits)
 
     def windows(self, ids: list, texts: list) -> tuple[np.ndarray, ...]:
         """(hash, other hash, place, document) of all windows of documents with an id."""
         found = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2]
+        words, docs, lengths = [], [], []
         for doc, (key, text) in enumerate(zip(ids, texts)):
             if key is not None and text:
-                one, two = window_hashes(text.encode().split(), self.factors)
-                found.append((one, two, np.arange(len(one)), np.full(len(one), doc)))
+                own = text.encode().split()
+                words += own
+                docs.append(doc)
+                lengths.append(len(own))
+            if len(words) >= GROUP:
+                found.append(self._of_group(words, docs, lengths))
+                words, docs, lengths = [], [], []
+        found.append(self._of_group(words, docs, lengths))
         return tuple(np.concatenate(c) for c in zip(*found))
 
+    def _of_group(self, words: list[bytes], docs: list[int], lengths: list[int]) -> tuple[np.ndarray, ...]:
+        """The same of documents whose words stand one behind the other: hashed at once, windows across two left out."""
+        one, two = window_hashes(words, self.factors)
+        n = np.array(lengths, np.int64)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+        whole = np.nonzero(place[: len(one)] + self.factors.shape[1] <= np.repeat(n, n)[: len(one)])[0]
+        return one[whole], two[whole], place[whole], np.repeat(np.array(docs, np.int64), n)[whole]
+
 
 def pack_gaps(cells: np.ndarray) -> bytes:
     """Sorted distinct numbers as their gaps, byte plane by byte plane."""
@@ -144,19 +169,29 @@ def _slices(docs: DataFrame, sizes: Sizes) -> DataFrame:
                 rows.append((s, row * blocks + int(block[at]), pack_gaps(cells[at:end] & np.uint64((1 << sizes.block) - 1)), zlib.compress(n, 1)))
         yield rows_of(rows)
 
+    def hold(held: list[list[np.ndarray]], ids: list, texts: list) -> int:
+        """Add the counters of the documents' windows, and say how many. A window counts once a document, or once more
+        where it has others between: it is one of two documents then."""
+        one, two, _, doc = sizes.windows(ids, texts)
+        order = np.argsort(one)
+        one, doc = one[order], doc[order]
+        new = np.append(True, (one[1:] != one[:-1]) | (doc[1:] != doc[:-1]))[: len(one)]
+        held[0].append(sizes.cells(one[new]))
+        held[1].append(sizes.cells(two[order][new]))
+        return int(new.sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, held, n = TaskContext.get().partitionId() << 24, [[], []], 0
         for b in batches:
-            begun, raw = 0, 0
+            begun, raw, ids, texts, chars = 0, 0, [], [], 0
             for at, (key, text) in enumerate(zip(b.column(0), b.column(1)), 1):
-                text = text.as_py()
-                raw += len(text or "")
-                one, two, _, _ = sizes.windows([key.as_py()], [text])
-                if len(one):
-                    one, first = np.unique(one, return_index=True)
-                    held[0].append(sizes.cells(one))
-                    held[1].append(sizes.cells(two[first]))
-                    n += len(one)
+                ids.append(key.as_py())
+                texts.append(text.as_py())
+                raw += len(texts[-1] or "")
+                chars += len(texts[-1] or "")
+                if chars >= min(4 * GROUP, SLICE) or at == b.num_rows or raw >= PIECE:
+                    n += hold(held, ids, texts)
+                    ids, texts, chars = [], [], 0
                 if n >= SLICE or raw >= PIECE:
                     yield rows_of([(s, None, _packed(b.slice(begun, at - begun)), None)])
                     begun, raw = at, 0
@@ -181,15 +216,19 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _added(sketches: DataFrame, sizes: Sizes) -> DataFrame:
-    """``s, part, bits``: of each slice's counters in a block, in order, a bit for two or more in all slices."""
+    """``s, part, bits, many``: of each slice's counters in a block, in order, a bit for two or more in all slices, and the
+    number of these."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        counter, cells = np.zeros(1 << sizes.block, np.uint32), [unpack_gaps(c).astype(np.int64) for c in pdf["data"]]
-        for c, counts in zip(cells, pdf["counts"]):
-            counter[c] += np.frombuffer(zlib.decompress(counts), np.uint8)
-        return pd.DataFrame({"s": pdf["s"], "part": pdf["part"], "bits": [np.packbits(counter[c] >= 2).tobytes() for c in cells]})
+    def add(sent: pa.Table) -> pa.Table:
+        counter, two = np.zeros(1 << sizes.block, np.uint8), np.uint8(2)  # counts to two
+        for c, counts in zip(sent["data"], sent["counts"]):
+            at = unpack_gaps(c.as_py()).astype(np.int64)
+            counter[at] = np.minimum(counter[at] + np.minimum(np.frombuffer(zlib.decompress(counts.as_py()), np.uint8), two), two)
+        found = [counter[unpack_gaps(c.as_py()).astype(np.int64)] == 2 for c in sent["data"]]
+        bits, many = pa.array([np.packbits(x).tobytes() for x in found], pa.binary()), pa.array([int(x.sum()) for x in found], pa.int64())
+        return pa.table({"s": sent["s"], "part": sent["part"], "bits": bits, "many": many})
 
-    return sketches.groupBy("part").applyInPandas(add, "s long, part long, bits binary")
+    return sketches.groupBy("part").applyInArrow(add, "s long, part long, bits binary, many long")
 
 
 class Slice:
@@ -263,15 +302,16 @@ def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"s": pdf["s"], "part": -1 - pdf["bucket"].astype("int64"), "bits": [np.packbits(x).tobytes() for x in np.split(smaller, np.cumsum(sizes)[:-1])]})
 
 
-def kept_words(text: str | None, at: np.ndarray | None, width: int) -> tuple[int, bytes]:
+def kept_words(text: str | None, at: np.ndarray | None, width: int) -> tuple[int, int, bytes]:
+    """The number of words, that of the kept ones, and these; ``at`` has each place of a window that goes once."""
     words = (text or "").encode().split()
     if at is None or not len(at):
-        return len(words), b" ".join(words)
+        return len(words), len(words), b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + width, -1)
-    keep = np.cumsum(edge[:-1]) == 0
-    return len(words), b" ".join([words[i] for i in np.nonzero(keep)[0].tolist()])
+    edge[at] += 1
+    edge[at + width] -= 1
+    kept = [words[i] for i in np.nonzero(np.cumsum(edge[:-1]) == 0)[0].tolist()]
+    return len(words), len(kept), b" ".join(kept)
 
 
 def substring_dedup(
@@ -296,6 +336,9 @@ def substring_dedup(
     added = stored(_added(sliced.filter("kind = 'sketch'").drop("kind"), sizes), "added")
     dropped(sliced, "/kind=sketch")
     released(df.sparkSession)
+    # a window that both rows call repeated is one of the first row's counters, so this many are sent at most, about
+    sizes.asked(added.filter(F.col("part") < 1 << (sizes.bits - sizes.block)).agg(F.sum("many")).first()[0] or 0)
+    added = added.drop("many")
     asked = _asked(docs, added, sizes)
     answered = asked.groupBy("bucket").applyInPandas(_answered, "s long, part long, bits binary")
     # written before the texts are shuffled: both at once would have the heap and the Python workers full together
@@ -311,9 +354,9 @@ def substring_dedup(
         places = x.gone(np.concatenate([np.zeros(0, np.uint8), *outside]).astype(bool))
         counts, gone, kept = [], [], []
         for k, text in enumerate(texts):
-            n, words = kept_words(text, places.get(k), width)
+            n, left_over, words = kept_words(text, places.get(k), width)
             counts.append(n)
-            gone.append(n - len(words.split()))
+            gone.append(n - left_over)
             kept.append(text if keep_layout and not gone[-1] else words.decode())
         del x, texts, places
         trim()

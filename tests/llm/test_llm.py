@@ -605,6 +605,35 @@ def test_the_prefilter_passes_a_bounded_share(spark, monkeypatch, n):
     assert 0 < asked / (288 * n) < 0.3
 
 
+def test_a_slice_sends_no_more_sketches_in_a_larger_corpus(spark):
+    """At the counters of about 6 GB: some hundred rows a slice, not one for every few windows."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x:05d}" for x in rng.integers(0, 99999, 2000))) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("carried", F.struct(F.lit(0).alias("none"))).repartition(1)
+    sliced = substrings._slices(df, substrings.Sizes(1.7e9, 13)).filter("part is not null")
+    sent = sliced.groupBy("s").count().collect()
+    assert [r["s"] for r in sent] == [0] and sent[0]["count"] <= 512
+
+
+def test_buckets_follow_the_windows_sent(docs, monkeypatch):
+    """Few windows repeat here: the least number of buckets, though the corpus has more windows than these would take."""
+    seen, asked = [], substrings.Sizes.asked
+    monkeypatch.setattr(substrings, "BUCKET", 1)
+    monkeypatch.setattr(substrings.Sizes, "asked", lambda self, n: seen.append((asked(self, n), self.buckets)[1]))
+    few = docs.sparkSession.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(20)], "doc_id long, text string")
+    assert few.count() == substrings.substring_dedup(few).count() and seen[0] >= 4096 and seen[-1] < seen[0]
+
+
+def test_windows_of_documents_hashed_together(monkeypatch):
+    sizes = substrings.Sizes(1000, 13)
+    texts = [" ".join(f"{k % 5}" for k in range(n)) for n in (3, 13, 0, 40, 12, 14, 100)] + [None, "a " * 30]
+    ids = [1, 2, 3, 4, None, 5, 6, 7, 8]
+    together = [x.tolist() for x in sizes.windows(ids, texts)]
+    monkeypatch.setattr(substrings, "GROUP", 1)
+    assert [x.tolist() for x in sizes.windows(ids, texts)] == together
+    assert list(zip(together[3], together[2])) == [(d, k) for d in (1, 3, 5, 6, 8) for k in range(len(texts[d].split()) - 12)]
+
+
 def test_gaps_and_planes():
     rng = np.random.default_rng(0)
     for n in (1, 5, 500):
