@@ -2,7 +2,7 @@ r"""Secret scans with one combined deterministic automaton.
 
 The rules' regexes are parsed to NFAs and determinised together by subset construction, minimised by partition
 refinement, and stored as transition arrays (state x byte class). One pass over a text's UTF-8 bytes runs all rules at
-once. Where a rule first accepts, its reversed automaton finds the leftmost start behind the rule's last match and its
+once; it stops where a state accepts, by a row that can't be indexed, and asks nothing at other bytes. Where a rule first accepts, its reversed automaton finds the leftmost start behind the rule's last match and its
 own anchored automaton the longest end; a text without any event costs that one pass only. A rule may ask for a least
 length of a group, read by the rule's regex on the span found.
 
@@ -17,6 +17,7 @@ import functools
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from operator import length_hint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,11 +234,11 @@ class Dfa:
         self.dead = order[part[dead]] if dead >= 0 else -1
 
     def expanded(self) -> list[list]:
-        """Rows by byte that hold the next row itself, then what the state accepts: the form the pass runs on."""
+        """Rows by byte that hold the next row itself, or a ``Stop`` before one that accepts: the form the pass runs on."""
         rows: list[list] = [[] for _ in self.moves]
-        for row, to, says in zip(rows, self.moves, self.accepts):
-            row.extend(rows[to[c]] for c in self.classes)
-            row.append(says)
+        into = [Stop(row, says) if says else row for row, says in zip(rows, self.accepts)]
+        for row, to in zip(rows, self.moves):
+            row.extend(into[to[c]] for c in self.classes)
         return rows
 
     def ends(self, data: bytes, places: range) -> int | None:
@@ -252,6 +253,15 @@ class Dfa:
         return found
 
 
+class Stop:
+    """Stands for the row of an accepting state. It can't be indexed, so the pass ends there without asking at each byte."""
+
+    __slots__ = ("row", "says")
+
+    def __init__(self, row: list, says: tuple[int, ...]):
+        self.row, self.says = row, says
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         nfas = [Nfa(r.pattern, r.any_case) for r in rules]
@@ -264,23 +274,35 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, of matches that are long enough, by start and rule."""
-        found, over, row, says, at = [], [0] * len(self.rules), self.rows[0], 256, 0
-        for byte in data:
+        found, over, row, rest = [], [0] * len(self.rules), self.rows[0], iter(data)
+        while True:
+            try:
+                for byte in rest:
+                    row = row[byte]
+                at, byte = len(data), None
+            except TypeError:  # one byte behind a stop
+                at = len(data) - length_hint(rest) - 1
+            while type(row) is Stop:
+                for k in row.says:
+                    if at > over[k]:
+                        self.match(data, at, k, over, found)
+                if byte is None:
+                    break
+                at, row, byte = at + 1, row.row[byte], next(rest, None)
+            if byte is None:
+                break
             row = row[byte]
-            at += 1
-            if row[says]:
-                for k in row[says]:
-                    if at <= over[k]:
-                        continue
-                    start = self.backward[k].ends(data, range(at - 1, over[k] - 1, -1))
-                    if start is None:
-                        continue
-                    end = self.forward[k].ends(data, range(start, len(data))) + 1
-                    over[k] = end
-                    if self.long_enough(k, data[start:end]):
-                        found.append((start, k, end))
         return sorted(found)
 
+    def match(self, data: bytes, at: int, k: int, over: list[int], found: list[tuple[int, int, int]]) -> None:
+        """Add the match of rule ``k`` whose earliest end is ``at``, if it is long enough; the rule goes on behind it."""
+        start = self.backward[k].ends(data, range(at - 1, over[k] - 1, -1))
+        if start is None:
+            return
+        over[k] = self.forward[k].ends(data, range(start, len(data))) + 1
+        if self.long_enough(k, data[start : over[k]]):
+            found.append((start, k, over[k]))
+
     def long_enough(self, k: int, span: bytes) -> bool:
         r = self.rules[k]
         return (len(span) if not r.group else len(self.exact[k].fullmatch(span)[r.group])) >= r.least

@@ -538,6 +538,14 @@ def test_secrets_equal_regexes():
         assert s.of_text(t) == brute_secrets(t, secrets.RULES)
 
 
+def test_the_pass_asks_nothing_at_a_byte():
+    """Rows hold the next rows alone; accepting states stop the pass, also at a text's end and many in a run."""
+    s = secrets.scanner(secrets.RULES)
+    assert all(len(r) == 256 and {type(x) for x in r} <= {list, secrets.Stop} for r in s.rows)
+    for t in ("ab" * 16, "ab" * 15 + "a", "ab" * 500, "ab" * 500 + " " + "cd" * 16 + "AKIA" + "B" * 12, "token=12345678", "token=1234567", "AKIA", "", "secret: " + "ab" * 40 + "é"):
+        assert s.of_text(t) == brute_secrets(t, secrets.RULES)
+
+
 def test_secret_scan(docs, empty):
     got = secrets.digest(secrets.secret_scan(docs))
     base = [r.kind for r in secrets.RULES if r.base]
