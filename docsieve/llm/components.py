@@ -16,7 +16,7 @@ from .common import dropped, joined, stored
 
 def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """Links u, v with m, the smallest v of u; and the table of it, to be deleted when the step is written."""
-    least = stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")), "least")
+    least = stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")), "least", most=total)
     return joined(links, least, "u", "many", total), least
 
 
@@ -44,9 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         large, one = _large_star(now, before[0])
-        large = stored(large.distinct(), "links")
+        large = stored(large.distinct(), "links", most=before[0])
         small, two = _small_star(large, before[0])
-        after = stored(small.distinct(), "links")
+        after = stored(small.distinct(), "links", most=2 * before[0])
         for old in (now, large, one, two):
             dropped(old)
         now, signature = after, _signature(after)

@@ -165,21 +165,22 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = stored(_sketches(df, id_col, text_col, width), "sketches")
     first = {c: F.first(c).alias(c) for c in ("n", "code", "keys")}
     each = docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.min(F.struct("id", "th")).alias("of"), *first.values())
-    each = stored(each, "distinct")
-    keyed = stored(each.select("fp", "n", F.explode("keys").alias("key")), "keys")
-    each_keys, each = each, stored(each.select("fp", "least", "many", "of", "n", "code"), "sets")
-    docs_keys, docs = docs, stored(docs.select("id", "th", "fp"), "documents")
+    count = docs.count()
+    each = stored(each, "distinct", most=count)
+    total = each.count()
+    keyed = stored(each.select("fp", "n", F.explode("keys").alias("key")), "keys", most=total * BANDS)
+    each_keys, each = each, stored(each.select("fp", "least", "many", "of", "n", "code"), "sets", most=total)
+    docs_keys, docs = docs, stored(docs.select("id", "th", "fp"), "documents", most=count)
     for old in (each_keys, docs_keys):
         dropped(old)
 
-    codes = stored(each.groupBy("code").agg(F.min("fp").alias("c"), F.count("*").alias("sets")), "codes")
-    total = each.count()
+    codes = stored(each.groupBy("code").agg(F.min("fp").alias("c"), F.count("*").alias("sets")), "codes", most=total)
     near = links(codes.select(F.col("code").alias("fp"))).join(codes.select(F.col("code").alias("u"), F.col("c").alias("a")), "u")
     near = near.join(codes.select(F.col("code").alias("v"), F.col("c").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = joined(each.select("code", "fp"), codes, "code", "sets", total).filter("fp <> c").select(F.col("c").alias("u"), F.col("fp").alias("v"))
 
-    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n")).alias("c")).filter("many > 1"), "sizes")
-    met = stored(joined(keyed, sizes.withColumn("members", F.col("many")), "key", "many", total * BANDS), "met")
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n")).alias("c")).filter("many > 1"), "sizes", most=total * BANDS // 2)
+    met = stored(joined(keyed, sizes.withColumn("members", F.col("many")), "key", "many", total * BANDS), "met", most=total * BANDS)
     dropped(keyed)
 
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-6  # noqa: E731, sizes that allow for it
@@ -187,7 +188,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     stars = stored(stars.unionByName(near).unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
 
     asked = met.select("fp").unionByName(stars.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
-    wanted = stored(each.join(asked, "fp").select("fp", "of.id", "of.th"), "wanted")
+    wanted = stored(each.join(asked, "fp").select("fp", "of.id", "of.th"), "wanted", most=total)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     rows = among(rows, wanted.select("id", "th")).alias("r")
     here = F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.th") == F.col("w.th"))
@@ -200,14 +201,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     released(df.sparkSession)
     verified = stored(_verified(stars, sets, least), "links")
     released(df.sparkSession)
-    found = stored(components(verified), "groups")
+    found = stored(components(verified), "groups", most=total)
     others = met.filter("members > 2 and fp <> c.fp").select("key", "fp")  # the smallest one has been compared with all
-    now = stored(others.join(found, others.fp == found.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "grouped")
+    now = stored(others.join(found, others.fp == found.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "grouped", most=total * BANDS)
     dropped(met)
     groups = now.groupBy("key", "root").agg(F.count("*").alias("many"))
     mixed = groups.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("k"), F.sum("many").alias("many")).filter("k > 1")
     outside = F.col("many") - F.col("main.many")
-    mixed = stored(mixed.select("key", "many", F.col("main.root").alias("main"), *(F.ceil(c / PART).cast("int").alias(n) for c, n in ((outside, "xs"), (F.col("many"), "ys")))), "mixed")
+    mixed = stored(mixed.select("key", "many", F.col("main.root").alias("main"), *(F.ceil(c / PART).cast("int").alias(n) for c, n in ((outside, "xs"), (F.col("many"), "ys")))), "mixed", most=total * BANDS // 2)
     left = joined(now, mixed, "key", "many", total * BANDS).withColumn("block", F.xxhash64("fp"))
     left = stored(left.join(sets, "fp").select("key", "fp", "root", "grams", "block", "main", "xs", "ys"), "left")
     released(df.sparkSession)

@@ -127,7 +127,7 @@ def links(fps: DataFrame, most: int = 2, pairwise: int = 64) -> DataFrame:
         raise ValueError("the keys find pairs of at most two differing bits")
     keyed = stored(_keyed(fps), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1")
-    sizes = stored(sizes, "sizes")
+    sizes = stored(sizes, "sizes", most=9 * fps.count())  # at most 18 keys each
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most
     twos = sizes.filter("n = 2").select("u", "v").filter(near)
     few = keyed.join(sizes.filter(f"n > 2 and n <= {pairwise}").select("key"), "key")
@@ -159,10 +159,10 @@ def grouped(docs: DataFrame, each: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with ``root, component_id``: from stored tables ``docs`` (fp, ...), ``each`` (fp, least id, many) and the
     components ``found`` (node, root). No fingerprint's or component's rows come to one task, however many there are."""
     rooted = each.join(found, each.fp == found.node, "left").select("fp", "least", "many", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
-    ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "roots")
     total = docs.count()
-    known = stored(joined(rooted.drop("least"), ids, "root", "fps", total), "known")
+    rooted = stored(rooted, "rooted", most=total)
+    ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "roots", most=total)
+    known = stored(joined(rooted.drop("least"), ids, "root", "fps", total), "known", most=total)
     return joined(docs, known, "fp", "many", total)
 
 

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file, where the most rows that a table can have are known.
+FILE_ROWS = 1 << 15
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,13 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, path: str | None = None, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, path: str | None = None, by: str | None = None, most: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
 
     ``checkpoint()`` would compute the plan twice (once to count, once to write); a table is written in one run. With
     ``path``, the rows are added to the table that is there; with ``by``, each value of that column has its own folder.
+
+    ``most``, the most rows it can have, bounds the number of files: a small table isn't dealt to as many as a shuffle has
+    partitions. For each file in a local folder Hadoop starts three processes (``chmod``), and until such a process runs
+    its own program the system counts the executor's whole memory for it again.
     """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     path = path or f"{shared_dir(spark)}/docsieve/{label}-{uuid.uuid4().hex}"
     df.write.mode("append").partitionBy(*([by] if by else [])).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

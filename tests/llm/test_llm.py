@@ -328,6 +328,32 @@ def test_components_of_a_star_and_a_long_chain(spark):
     assert got.count() == 541 and got.filter("node <= 500 and root <> 1 or node > 500 and root <> 600").count() == 0
 
 
+def test_small_tables_are_not_dealt_to_many_files(spark, monkeypatch):
+    """Each file in a local folder starts three processes from an executor. Small steps take one file, whatever the number
+    of shuffle partitions; a table of more rows takes more."""
+    files = []
+
+    def written(*a, **b):
+        out = common.stored(*a, **b)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "stored", written)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("50", "false")):
+            spark.conf.set(k, v)
+        e = spark.createDataFrame([(7 * k, 7 * k + j) for k in range(40) for j in (1, 2)], "u long, v long")
+        found = components.components(e)
+        assert rows_of(found, "node", "root") == sorted(((7 * k + j, 7 * k) for k in range(40) for j in range(3)), key=repr)
+        assert max(files[1:]) == 1  # the links themselves come as they are dealt
+        many = spark.range(0, 1 << 17, 1, 50)
+        assert len(common.stored(many, "many", most=1 << 17).inputFiles()) == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     found = components.components(e)
