@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: language identification, near-duplicates, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but the last return the columns of
-``docs``. ``run`` writes every stage as Parquet in the shared folder and reads it again as the next one's docs.
+``docs``. ``run`` writes every stage as Parquet in the shared folder and reads it again as the next one's docs. Each begins
+by releasing what its predecessor has left in the executors' heaps and shuffle files.
 
 Odd cases, in every stage: an empty table gives an empty one; other columns may have any name and are carried along;
 texts of any length are read whole; a row with a null id is a document like any other, but takes nothing from others in
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import jaccard, language, packing, secrets, simhash, substrings
-from docsieve.llm.common import stored, table
+from docsieve.llm.common import released, stored, table
 
 #: SQL can't express the classifier, the hashes and the tokeniser; tests hold the stages to brute-force versions.
 ORACLE_SQL = None
@@ -25,6 +26,7 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go; a missing ``lang`` is filled in. With no labelled rows to learn
     from, only documents without a letter go."""
+    released(spark)
     model = language.train(docs, ~language.held_out())
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -36,12 +38,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (Jaccard similarity of five-word shingles of 0.8 or more) stays, the
     one with the smallest id."""
+    released(spark)
     return simhash.first_of_each(docs, jaccard.near_copies(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 13-word windows that stand in an earlier document go; a document that loses all its words goes too. A
     text that loses nothing stays as it is."""
+    released(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = substrings.substring_dedup(docs, carry=others, keep_layout=True)
     cut = cut.filter("n_removed = 0 or n_removed < n_words")
@@ -51,12 +55,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind in brackets."""
+    released(spark)
     clean = secrets.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 1024 tokens."""
+    released(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     limits = packing.TOKENS, packing.DOCUMENTS, packing.ATTENTION
     return packing.pack_documents(docs, path, public_tokenizers.PATTERN, 2, *limits).withColumnRenamed("id", "doc_id")

@@ -57,11 +57,18 @@ def dropped(df: DataFrame, folder: str = "") -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now. It does so when the driver collects garbage, which a large
-    heap puts off for up to half an hour."""
+    """Let Spark delete the shuffle files of finished steps now, and executors give back the heap that these steps filled.
+
+    Spark deletes the files when the driver collects garbage, which a large heap puts off for up to half an hour. An
+    executor's heap grows with what a step leaves behind, not with what it needs, and shrinks at a whole collection only:
+    beside it, the next step's Python workers and native buffers would have less and less room.
+    """
     gc.collect()  # what Python still holds of finished steps
     time.sleep(1)  # the scheduler lets go of a job a moment after its end
     spark._jvm.System.gc()
+    if not spark.sparkContext._jsc.sc().isLocal():  # a task for every core, so that each executor has one
+        cores = spark.sparkContext.defaultParallelism
+        spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc')").collect()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyspark
 import pytest
 import tiktoken
 import xxhash
@@ -837,3 +842,38 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, str(tmp_path))
         assert df.count() == 0
+
+
+_EXECUTOR = '''
+import os, sys, time
+import psutil, pyspark
+from pyspark.sql import SparkSession
+
+from docsieve.plans.storage import released
+
+spark = SparkSession.builder.master("local-cluster[1,2,1400]").config("spark.executor.memory", "1200m").config("spark.ui.enabled", "false").getOrCreate()
+own = [p for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline())]
+resident = lambda: sum(p.memory_info().rss for p in own) >> 20
+spark.range(0, 16, 1, 16).selectExpr("max(length(repeat(cast(id as string), 200000000)))").collect()
+before = resident()
+released(spark)
+time.sleep(1)
+print("MB", len(own), before, resident())
+os._exit(0)
+'''
+
+
+def test_executors_give_back_heap(tmp_path):
+    """What a finished step has filled of an executor's heap goes back to the system."""
+    (tmp_path / "home/work").mkdir(parents=True)  # executors' folders
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": f"{tmp_path}/home", "SPARK_LOCAL_DIRS": f"{tmp_path}/local", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(k, None)
+    said = subprocess.run([sys.executable, "-c", _EXECUTOR], env=env, capture_output=True, text=True, timeout=120)
+    found = re.findall(r"^MB (\d+) (\d+) (\d+)$", said.stdout, re.M)
+    assert found, said.stderr[-2000:]
+    executors, before, after = map(int, found[0])
+    assert executors == 1 and after < 0.7 * before
